@@ -34,9 +34,9 @@ CACHE_CHUNKS = 300_000
 VOCABULARY = "byte_bpe_50k.json"
 _CHUNK = re.compile(rb"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+\Z")
 #: Blanks that are not ASCII or that only some libraries count as blanks; a text with one is encoded whole.
-_ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]")
+_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 #: A chunk that is one piece for sure: Latin letters after at most one blank.
-_LETTERS = re.compile(" ?[A-Za-zªµºÀ-ÖØ-öø-ɏ]+")
+_LETTERS = re.compile(" ?[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 
 
 def default_vocabulary(name: str = VOCABULARY) -> str:
