@@ -2,7 +2,5 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+from grapnel.operators import store, traversal  # noqa: F401
+from grapnel.registry import ORACLES, QUERIES  # noqa: F401
