@@ -2,14 +2,16 @@
 
 Method.  A window is 10 consecutive words of an item (a shorter item is one window).  A document that
 contains a window contains each of its words, so the rarest of them is a necessary prefix token:
-words are ranked by how often they stand in the whole corpus, and only document words that are some
-window's rarest word are joined.  Each join row names the window and the offset of its token, which
+words are ranked by how many documents of the whole corpus hold them, and only document words that are
+some window's rarest word are joined.  Each join row names the window and the offset of its token, which
 fixes where the window would have to start (positional bound) and end (length bound); the slice of
 the document is then compared with the window word by word.  Only verified starts are shuffled.
 
-Broadcasts.  The window table grows with the benchmark, so its rows are counted first: up to
-:data:`BROADCAST_ROWS` it is broadcast, beyond that the same join runs shuffled on the token, with
-the token side salted over :data:`SALTS` copies.  All that follows is the same.
+Documents are taken apart in chunks of :data:`CHUNK` words that carry the few words before and after, so
+the row that goes through the join is small however long the document is.
+
+Broadcasts.  The window table grows with the benchmark, so its rows are counted first.  Beyond
+:data:`BROADCAST_ROWS` it is dealt by hash into parts of that size and the corpus is passed once a part.
 
 Defined results.  A null or empty text has no words; an item without words has no window.  Rows that
 share an id and a text are one document and come back as often as they came in; a null id is an id
@@ -25,7 +27,7 @@ from grapnel.scratch import materialize
 
 WINDOW = 10
 BROADCAST_ROWS = 200_000
-SALTS = 64
+CHUNK = 256
 
 
 def words(text: str) -> Column:
@@ -42,15 +44,13 @@ def item_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "te
     )
 
 
-def word_counts(docs: DataFrame, vocabulary: DataFrame, small: bool, text: str = "text") -> DataFrame:
-    """How often each word of the vocabulary stands in the whole corpus.
+def word_counts(docs: DataFrame, vocabulary: DataFrame, text: str = "text") -> DataFrame:
+    """How many documents of the whole corpus hold each word of the vocabulary (small, broadcast).
 
-    A document's words are made distinct before they leave it, so a word counts once a document;
-    what is shuffled is one row a word and task.
+    A document's words are made distinct before they leave it; what is shuffled is a row a word and task.
     """
-    held = docs.select(F.explode(F.array_distinct(words(text))).alias("__token"))
-    vocabulary = F.broadcast(vocabulary) if small else vocabulary
-    return held.join(vocabulary, "__token", "left_semi").groupBy("__token").agg(F.count("*").alias("__df"))
+    held = docs.select(F.explode_outer(F.array_distinct(words(text))).alias("__token"))
+    return held.join(F.broadcast(vocabulary), "__token", "left_semi").groupBy("__token").agg(F.count("*").alias("__df"))
 
 
 def prefix_tokens(windows: DataFrame, counts: DataFrame) -> DataFrame:
@@ -61,45 +61,65 @@ def prefix_tokens(windows: DataFrame, counts: DataFrame) -> DataFrame:
     return least.select(F.col("__rank.token").alias("__token"), F.col("__rank.at").alias("__offset"), "__window", "__items")
 
 
+def _chunks(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
+    """Chunks of words with up to ``width - 1`` words around: ``__from`` (place of the first core word),
+    ``__lead`` (words before it), ``__w`` (all), ``__core`` (an empty marker, then the core words)."""
+
+    def cut(w: Column) -> Column:
+        at = F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(CHUNK))
+        lead = lambda s: F.least(s, F.lit(width - 1))
+        return F.transform(at, lambda s: F.struct(
+            s.alias("from"), lead(s).alias("lead"), F.size(w).alias("n"), F.slice(w, s - lead(s) + 1, lead(s) + CHUNK + width - 1).alias("w"),
+            F.concat(F.array(F.lit("")), F.slice(w, s + 1, CHUNK)).alias("core"),
+        ))
+
+    spelled = docs.select(F.col(doc_id).alias("__doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__fp"), let(words(text), cut).alias("__cut"))
+    return spelled.select("__doc", "__fp", F.explode_outer("__cut").alias("__c")).select(
+        "__doc", "__fp", F.col("__c.from").alias("__from"), F.col("__c.lead").alias("__lead"), F.col("__c.n").alias("__n"), F.col("__c.w").alias("__w"), F.col("__c.core").alias("__core")
+    )
+
+
+def _hits(docs: DataFrame, tokens: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
+    """Rows ``__doc, __fp, __first, __n, __hit``: one marker for each document row, and one for each
+    verified window (start, end, items)."""
+    table = tokens.groupBy("__token").agg(F.collect_list(F.struct("__offset", "__window", "__items")).alias("__at"))
+    marker = docs.sparkSession.range(1).select(F.lit("").alias("__token"), F.expr("CAST(NULL AS array<struct<__offset:int,__window:array<string>,__items:array<string>>>)").alias("__at"))
+    at = _chunks(docs, doc_id, text, width).select("__doc", "__fp", "__from", "__lead", "__n", "__w", F.posexplode_outer("__core").alias("__pos", "__token"))
+    told = at.join(F.broadcast(table.unionByName(marker)), "__token").where((F.col("__pos") > 0) | (F.col("__from") == 0))
+    # the token's place in __w is lead + pos - 1 from 0, and in the document from + pos - 1
+    start = lambda x: F.col("__lead") + F.col("__pos") - 1 - x["__offset"]
+    size = lambda x: F.size(x["__window"])
+    verified = F.filter("__at", lambda x: (start(x) >= 0) & (start(x) + size(x) <= F.size("__w")) & (F.slice("__w", F.greatest(start(x), F.lit(0)) + 1, size(x)) == x["__window"]))
+    base = F.col("__from") - F.col("__lead")
+    hits = F.transform(verified, lambda x: F.struct((base + start(x)).alias("s"), (base + start(x) + size(x)).alias("e"), x["__items"].alias("i")))
+    # a generator, not a filter: a filter would move into the join and take it out of generated code
+    return told.select("__doc", "__fp", (F.col("__pos") == 0).alias("__first"), "__n", F.explode_outer(hits).alias("__hit")).where(F.col("__first") | F.col("__hit").isNotNull())
+
+
 def contaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """A row for each document: the id, ``n_words``, ``n_hit``, ``items`` (sorted array), ``contaminated``."""
     windows = materialize(item_windows(benchmark, item_id, item_text, width), "windows")
-    small = windows.count() * width <= broadcast_rows  # a row a word at most
-    vocabulary = windows.select(F.explode("__window").alias("__token")).distinct()
-    tokens = materialize(prefix_tokens(windows, word_counts(docs, vocabulary, small, text)), "prefix-tokens")
-    spelled = docs.select(F.col(doc_id).alias("__doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__fp"), words(text).alias("__words"))
-    at = spelled.select("__doc", "__fp", "__words", F.posexplode_outer("__words").alias("__pos", "__token"))
-    if small:
-        table = tokens.groupBy("__token").agg(F.collect_list(F.struct("__offset", "__window", "__items")).alias("__at"))
-        told = at.join(F.broadcast(table), "__token", "left")
-    else:
-        salted = at.withColumn("__salt", F.pmod(F.xxhash64("__fp"), F.lit(SALTS)).cast("int"))
-        table = tokens.groupBy("__token").agg(F.collect_list(F.struct("__offset", "__window", "__items")).alias("__at"))
-        copies = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        told = salted.join(copies, ["__token", "__salt"], "left")
-    marker = F.coalesce(F.col("__pos"), F.lit(0)) == 0
-    verified = F.filter("__at", lambda x: (F.col("__pos") >= x["__offset"]) & (F.col("__pos") - x["__offset"] + F.size(x["__window"]) <= F.size("__words")) & _equal(x))
-    found = told.select(
-        "__doc", "__fp", marker.alias("__first"),
-        F.when(marker, F.size("__words")).alias("__n"),
-        F.transform(F.when(F.col("__at").isNotNull(), verified), lambda x: F.struct((F.col("__pos") - x["__offset"]).alias("s"), (F.col("__pos") - x["__offset"] + F.size(x["__window"])).alias("e"), x["__items"].alias("i"))).alias("__hits"),
-    ).where(F.col("__first") | (F.size("__hits") > 0))
+    parts = max(1, -(-windows.count() // broadcast_rows))
+    found = None
+    for part in range(parts):
+        own = windows if parts == 1 else windows.where(F.pmod(F.xxhash64("__window"), F.lit(parts)) == part)
+        vocabulary = own.select(F.explode("__window").alias("__token")).distinct()  # width x broadcast_rows short words at most
+        tokens = materialize(prefix_tokens(own, word_counts(docs, vocabulary, text)), "prefix-tokens")
+        one = _hits(docs, tokens, doc_id, text, width)
+        one = one if part == 0 else one.withColumn("__first", F.lit(False)).where(F.col("__hit").isNotNull())
+        found = one if found is None else found.unionByName(one)
     grouped = found.groupBy("__doc", "__fp").agg(
         F.max("__n").alias("__n"), F.count_if(F.col("__first")).alias("__rows"),
-        F.collect_set(F.when(F.size("__hits") > 0, F.transform("__hits", lambda h: F.struct(h["s"], h["e"])))).alias("__runs"),
-        F.array_distinct(F.flatten(F.collect_set(F.when(F.size("__hits") > 0, F.flatten(F.transform("__hits", lambda h: h["i"])))))).alias("__items"),
+        F.collect_set(F.when(F.col("__hit").isNotNull(), F.struct("__hit.s", "__hit.e"))).alias("__runs"),
+        F.array_distinct(F.flatten(F.collect_set("__hit.i"))).alias("__items"),
     )
-    runs = F.sort_array(F.array_distinct(F.flatten("__runs")))
+    runs = F.sort_array("__runs")
     covered = F.aggregate(
         runs, F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")),
         lambda acc, r: F.struct((acc["n"] + F.greatest(r["e"] - F.greatest(acc["to"], r["s"]), F.lit(0))).alias("n"), F.greatest(acc["to"], r["e"]).alias("to")),
     )["n"]
     done = grouped.select(
-        F.col("__doc").alias(doc_id), F.greatest("__n", F.lit(0)).cast("long").alias("n_words"), covered.cast("long").alias("n_hit"),
+        F.col("__doc").alias(doc_id), F.col("__n").cast("long").alias("n_words"), covered.cast("long").alias("n_hit"),
         F.sort_array("__items").alias("items"), (F.size("__runs") > 0).alias("contaminated"), "__rows",
     )
     return done.select(*done.columns, rows_again("__rows").alias("__copy")).drop("__rows", "__copy")
-
-
-def _equal(x: Column) -> Column:
-    return F.slice("__words", F.col("__pos") - x["__offset"] + 1, F.size(x["__window"])) == x["__window"]

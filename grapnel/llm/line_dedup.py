@@ -35,7 +35,7 @@ def _text(column: str) -> Column:
 def _occurrences(docs: DataFrame, doc_id: str, text: str, min_key: int) -> DataFrame:
     keys = F.transform(F.split(ascii_lower(_text(text)), "\n"), lambda line: F.btrim(line, F.lit(BLANKS)))
     lines = docs.where(F.col(doc_id).isNotNull()).select(
-        F.col(doc_id).alias("__doc"), F.xxhash64(_text(text)).alias("__fp"), F.posexplode(keys).alias("__pos", "__key")
+        F.col(doc_id).alias("__doc"), F.xxhash64(_text(text)).alias("__fp"), F.posexplode_outer(keys).alias("__pos", "__key")
     )
     return lines.where(F.length("__key") >= min_key).select(
         "__doc", "__fp", "__pos", F.xxhash64("__key").alias("__h1"), F.xxhash64(F.lit("second"), "__key").alias("__h2")
