@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from grapnel.operators import linkage, retrieval, store, traversal  # noqa: F401
+from grapnel.operators import linkage, repair, retrieval, store, structure, textops, traversal  # noqa: F401
 from grapnel.registry import ORACLES, QUERIES  # noqa: F401
