@@ -15,6 +15,8 @@ rows are packed as often as they come; further columns are ignored; an empty tab
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -23,12 +25,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from grapnel.llm.batches import map_texts, segments
+from grapnel.llm.token_counts import byte_letters
 from grapnel.scratch import materialize
 
 LENGTH = 2048
 END_ID = 1
 GROUP_PIECES = 4096
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -38,28 +41,56 @@ def default_vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+#: Words that need no normalisation but lower case, and what one piece is in them: ASCII and Latin letters.
+_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ɏ"
+_PLAIN = re.compile(f"[!-~{_LETTERS}]+")
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^0-9{_LETTERS}]+")
+
+
 class WordIds(dict):
     """Little-endian ids of words, each encoded once.  This vocabulary drops white space before it merges,
-    so a text's ids are its words' ids in a row."""
+    so a text's ids are its words' ids in a row.
 
-    def __init__(self, path: str, limit: int = CACHE_WORDS):
-        import os
+    Plain words are cut into pieces here and given to the vocabulary's merges; others go through the
+    whole tokenizer.  When the cache is full it becomes the old generation, from which words come back.
+    """
 
+    def __init__(self, path: str, limit: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.encoder, self.limit = Tokenizer.from_file(path), limit
+        self.merges, self.special = self.encoder.model, re.compile("|".join(re.escape(t.content) for t in self.encoder.get_added_tokens_decoder().values()) or r"(?!)")
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.old: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def piece(self, piece: str) -> bytes:
+        spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.merges.tokenize(spelled)]
+        if len(self.pieces) >= self.limit:
+            self.pieces.clear()
+        found = self.pieces[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            text = word.decode()
+            if _PLAIN.fullmatch(text) and not self.special.search(text):
+                known = self.pieces
+                found = b"".join([known.get(p) or self.piece(p) for p in _PIECES.findall(text.lower())])
+            else:
+                ids = self.encoder.encode(text, add_special_tokens=False).ids
+                found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[word] = found
+        return found
 
     def ids(self, text: bytes) -> bytes:
-        words = text.split()
-        new = [w for w in set(words) if w not in self]
-        if new:
-            if len(self) + len(new) > self.limit:
-                self.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.encoder.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-                self[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        return b"".join(map(self.__getitem__, words))
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 _CACHES: dict[str, WordIds] = {}
