@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-from grapnel.operators import linkage, repair, retrieval, store, structure, textops, traversal  # noqa: F401
+from grapnel.operators import linkage, relational, repair, retrieval, store, structure, textops, traversal  # noqa: F401
 from grapnel.registry import ORACLES, QUERIES  # noqa: F401
+from grapnel.sources import connectors  # noqa: F401
+from grapnel.streaming import progress  # noqa: F401
