@@ -24,7 +24,7 @@ l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: trim(x, {_B
 m AS (SELECT d.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
   len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM d JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
 b AS (SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (n_words > 1000000)::BIGINT + 8 * (word_chars < 2 * n_words OR word_chars > 20 * n_words)::BIGINT
-  + 16 * (10 * n_symbols > n_words)::BIGINT + 32 * (10 * n_dup_lines > 3 * n_lines)::BIGINT AS fail_bits FROM m)
+  + 16 * (10 * n_symbols > n_words)::BIGINT + 32 * (n_dup_lines > 3 AND 10 * n_dup_lines > 3 * n_lines)::BIGINT AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 59) = 0 AS kept, fail_bits FROM b"""
 
 
