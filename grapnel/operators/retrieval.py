@@ -142,8 +142,8 @@ def render(rows: DataFrame) -> DataFrame:
 def ask(spark, sf_dir: str, question: str, mode: str | None = None, top_k: int = 20, n_starts: int = 5) -> tuple[traversal.Walk, DataFrame]:
     """A question end to end: text search, start nodes, walk, packet rows."""
     plan = traversal.PRESETS[mode or spark.range(1).select(mode_of(F.lit(question))).first()[0]]
-    nodes, edges = views.nodes(spark, sf_dir), views.edges(spark, sf_dir)
-    found = text_search(views.blocks(spark, sf_dir).where("node_type = 'claim'"), question, ["text"], top_k, ["node_id"])
+    nodes, edges = traversal.stored_graph(spark, sf_dir)
+    found = text_search(nodes.where("node_type = 'claim'"), question, ["text"], top_k, ["node_id"])
     starts = [r["node_id"] for r in found.select("node_id").limit(n_starts).collect()]  # a top-k of the question
     result = traversal.walk(nodes, edges, starts, plan)
     return result, packet(result, found)

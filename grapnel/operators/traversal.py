@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 from grapnel.plans import views
 from grapnel.plans.views import oracle
 from grapnel.registry import query
+from grapnel.scratch import materialize
 
 BOTH_WAYS = ("supports", "constrains", "contradicts", "refines", "extends", "supersedes", "derived_from")
 SPAN_GATED = ("claim", "evidence", "limitation")
@@ -122,7 +123,6 @@ def walk(nodes: DataFrame, edges: DataFrame, starts: list[str], plan: WalkPlan,
             stop = "budget"
         if not accepted or depth == plan.max_depth:
             break
-        place = {n: i for i, n in enumerate(accepted)}
         near = _first_parallel(adj.where(F.col("node").isin(*accepted)))
         if hops is not None:
             near = near.unionByName(hops.where(F.col("node").isin(*accepted)), allowMissingColumns=True)
@@ -145,7 +145,6 @@ def walk(nodes: DataFrame, edges: DataFrame, starts: list[str], plan: WalkPlan,
         frame = steps.select(F.col("neighbor").alias("node_id"), ((depth + 1) * 100 + F.col("cost") * 10 - F.col("importance") * 3 - F.col("confidence") * 2).alias("priority")).groupBy("node_id").agg(F.min("priority").alias("priority"))
         if stop != "exhausted":
             break
-        del place
     schema = "node_id string, node_type string, depth int, pop_order int, confidence double, importance double, text string"
     found = spark.createDataFrame(seen, schema)
     edges_schema = T.StructType.fromDDL("depth int, node string, type string, neighbor string, confidence double")
@@ -222,9 +221,14 @@ def _section_starts(spark, sf) -> list[str]:
     return [r["section_id"] for r in rows.select("section_id").collect()]
 
 
+def stored_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges as written tables: a walk reads them once a level, with its frontier pushed down."""
+    return materialize(views.nodes(spark, sf_dir), "nodes"), materialize(views.edges(spark, sf_dir), "edges")
+
+
 def _run(spark, sf, plan: WalkPlan) -> Walk:
     starts = _section_starts(spark, sf) if plan.mode == "trace" else _starts(spark, sf)
-    return walk(views.nodes(spark, sf), views.edges(spark, sf), starts, plan)
+    return walk(*stored_graph(spark, sf), starts, plan)
 
 
 def _sql(plan: WalkPlan, body: str) -> str:

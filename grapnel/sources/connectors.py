@@ -20,7 +20,7 @@ PRIORITY = ("mineru_api", "external_markdown", "pdfplumber")
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """One row a file: path and whole text."""
-    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
 def read_audit(spark: SparkSession, path: str, event: str | None = None, limit: int | None = None) -> DataFrame:
