@@ -111,13 +111,12 @@ def bridge_candidates(concepts: DataFrame) -> DataFrame:
 # ---- queries ---------------------------------------------------------------------------------------
 
 _SETS = """SELECT paper_id, CASE WHEN length(t) < 3 THEN [t] ELSE list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) END AS s
-  FROM (SELECT paper_id, trim(regexp_replace(lower(title), '[ \\t\\r\\n]+', ' ', 'g')) AS t FROM papers WHERE paper_id < 300)"""
+  FROM (SELECT paper_id, trim(regexp_replace(lower(title), '[ \\t\\r\\n]+', ' ', 'g')) AS t FROM papers)"""
 _PAIRS = """SELECT a, b, common, round(common / (na + nb - common), 6) AS jaccard FROM (SELECT x.paper_id AS a, y.paper_id AS b, len(list_intersect(x.s, y.s)) AS common, len(x.s) AS na, len(y.s) AS nb FROM sets x JOIN sets y ON x.paper_id < y.paper_id) WHERE common / (na + nb - common) >= 0.25"""
 
 
 def _titles(spark, sf):
-    """All titles of the first 300 documents: the fixture of the title queries."""
-    return views.papers(spark, sf).where("paper_id < 300")
+    return views.papers(spark, sf)
 
 
 @query(oracle("SELECT paper_id, len(s) AS n FROM sets", sets=_SETS))
@@ -131,7 +130,7 @@ def shingle_jaccard(spark, sf):
 
 
 @query(oracle("""SELECT p.paper_id, CASE WHEN b.a IS NULL THEN 'new' ELSE 'join' END AS decision, b.a AS series_of, coalesce(round(least(b.jaccard + 0.2, 1.0), 6), 1.0) AS confidence FROM papers p
-  LEFT JOIN (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY b ORDER BY jaccard DESC, a) = 1) b ON p.paper_id = b.b WHERE p.paper_id < 300""", sets=_SETS, pairs=_PAIRS))
+  LEFT JOIN (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY b ORDER BY jaccard DESC, a) = 1) b ON p.paper_id = b.b""", sets=_SETS, pairs=_PAIRS))
 def series_decisions(spark, sf):
     t = _titles(spark, sf)
     return series_decision(jaccard_pairs(t, "paper_id", "title"), t, "paper_id")

@@ -39,11 +39,11 @@ def rel_anti(spark, sf):
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
 
 
-@query("SELECT e.event_id, (SELECT max(o_orderkey) FROM orders o WHERE o.o_custkey = e.user_id AND o.o_orderdate <= e.ts AND o.o_orderdate = (SELECT max(o_orderdate) FROM orders p WHERE p.o_custkey = e.user_id AND p.o_orderdate <= e.ts)) AS order_key FROM events e WHERE e.event_id < 2000")
+@query("SELECT e.event_id, (SELECT max(o_orderkey) FROM orders o WHERE o.o_custkey = e.user_id AND o.o_orderdate <= e.ts AND o.o_orderdate = (SELECT max(o_orderdate) FROM orders p WHERE p.o_custkey = e.user_id AND p.o_orderdate <= e.ts)) AS order_key FROM events e")
 def rel_asof(spark, sf):
     """Each event's last order of the same customer: union, then the last value carried forward."""
     e, o = _t(spark, sf, "events", "orders")
-    left = e.where("event_id < 2000").select(F.col("user_id").alias("k"), "ts", F.lit(1).alias("side"), "event_id", F.lit(None).cast("long").alias("order_key"))
+    left = e.select(F.col("user_id").alias("k"), "ts", F.lit(1).alias("side"), "event_id", F.lit(None).cast("long").alias("order_key"))
     right = o.select(F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("ts"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("event_id"), F.col("o_orderkey").alias("order_key"))
     w = Window.partitionBy("k").orderBy("ts", "side", "order_key").rowsBetween(Window.unboundedPreceding, 0)
     return left.unionByName(right).withColumn("found", F.last("order_key", ignorenulls=True).over(w)).where("side = 1").select("event_id", F.col("found").alias("order_key"))

@@ -289,9 +289,9 @@ def store_upsert(spark, sf):
     return upsert(c, changed.unionByName(added), ["c_custkey"])
 
 
-@query(oracle("SELECT section_id, page, length(text) AS n FROM sections WHERE page BETWEEN 2 AND 3 AND doc_id < 100 ORDER BY section_id LIMIT 200"))
+@query(oracle("SELECT section_id, page, length(text) AS n FROM sections WHERE page BETWEEN 2 AND 3 ORDER BY section_id LIMIT 200"))
 def store_segments_by_page(spark, sf):
-    return views.sections(spark, sf).where("page BETWEEN 2 AND 3 AND doc_id < 100").orderBy("section_id").limit(200).select("section_id", "page", F.length("text").alias("n"))
+    return views.sections(spark, sf).where("page BETWEEN 2 AND 3").orderBy("section_id").limit(200).select("section_id", "page", F.length("text").alias("n"))
 
 
 @query(oracle("SELECT node_id, confidence, row_number() OVER (ORDER BY confidence DESC, node_id) AS place FROM blocks WHERE node_type = 'claim' ORDER BY place LIMIT 100"))

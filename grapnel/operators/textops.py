@@ -128,7 +128,7 @@ def heading_roles(spark, sf):
 
 
 @query(oracle("""SELECT section_id, CASE WHEN ord % 8 = 0 THEN 'noise' WHEN (place < 0.05 OR place > 0.95) AND ord % 8 = 3 THEN 'front' WHEN ord % 8 = 1 THEN 'structural' WHEN ord % 8 = 2 THEN 'context'
-   WHEN (place < 0.05 OR place > 0.95) AND regexp_matches(lower(text), 'preface|foreword|acknowledgment|appendix|contents') THEN 'front' ELSE 'content' END AS role
+   WHEN (place < 0.05 OR place > 0.95) AND regexp_matches(lower(text), 'preface|foreword|acknowledgment|appendix|contents') THEN 'front' WHEN ord % 8 > 3 AND regexp_matches(text, '(?i)^([IVX]+\\.[ \\t]+|[0-9]+\\.[0-9]+[ \\t]+|[A-G]\\.[ \\t]+)') THEN 'structural' ELSE 'content' END AS role
   FROM (SELECT section_id, ord, text, (ord - 1)::DOUBLE / max(ord) OVER (PARTITION BY doc_id) AS place FROM sections)"""))
 def block_roles(spark, sf):
     from pyspark.sql import Window
