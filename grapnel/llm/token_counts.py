@@ -37,6 +37,10 @@ _CHUNK = re.compile(rb"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+\
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 #: A chunk that is one piece for sure: Latin letters after at most one blank.
 _LETTERS = re.compile(" ?[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+#: Chunks whose pieces are cut here: one blank at most, then ASCII and Latin letters.
+_LATIN = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_PLAIN = re.compile(f"[ \n]?[!-~{_LATIN}]+")
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[^ \\n0-9{_LATIN}]+|\\n")
 
 
 def default_vocabulary(name: str = VOCABULARY) -> str:
@@ -67,60 +71,94 @@ class PrefixCounter(dict):
         spell = lambda s: bytes(map(letters.__getitem__, s))
         special = {t["content"] for t in told["added_tokens"]}
         self.special = [s.encode() for s in special]
-        self.tokens = {spell(s) for s in told["model"]["vocab"] if s not in special}
         merges = (m if isinstance(m, list) else m.split(" ") for m in told["model"]["merges"])
         self.rank = {(spell(a), spell(b)): i for i, (a, b) in enumerate(merges)}
-        self.longest = max(map(len, self.tokens))
+        #: How each token is made: (rank of its merge, left part, right part); single bytes come first.
+        self.made = {a + b: (i, a, b) for (a, b), i in reversed(self.rank.items())}
+        for b in range(256):
+            self.made[bytes([b])] = (-1, b"", b"")
+        self.longest = max(map(len, self.made))
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
-
-    def merged(self, piece: bytes) -> list[bytes]:
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            best = min(((self.rank.get(p, 1 << 30), i) for i, p in enumerate(zip(parts, parts[1:]))), default=(1 << 30, 0))
-            if best[0] == 1 << 30:
-                break
-            pair = (parts[best[1]], parts[best[1] + 1])
-            out, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and (parts[i], parts[i + 1]) == pair:
-                    out.append(pair[0] + pair[1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return parts
+        self.table: dict[bytes, tuple[bytes, int]] = {b"": (b"", 0)}
+        self.old: dict[bytes, int] = {}
 
     def agree(self, a: bytes, b: bytes) -> bool:
-        """Whether merging the two tokens' bytes gives just these tokens."""
-        got = self.pairs.get((a, b))
-        if got is None:
-            if len(self.pairs) > self.limit:
+        """Whether the two tokens can stand side by side in a result of merging.
+
+        Their merges are undone from the last to the first.  Before each, the two parts at the border
+        were neighbours, so a merge of these parts of an earlier rank (or, as merging goes from left
+        to right, of the right token's own rank) would have been made instead.
+        """
+        rank, made, limit = self.rank, self.made, 1 << 30
+        while True:
+            m = rank.get((a, b))
+            if m is not None and m < limit:
+                return False
+            (ra, _, right), (rb, left, _) = made[a], made[b]
+            if ra > rb:
+                a, limit = right, ra
+            elif rb >= 0:
+                b, limit = left, rb + 1
+            else:
+                return True
+
+    def reach(self, piece: bytes) -> tuple[bytes, int]:
+        """(last token, token count) of a piece that merging treats as one.
+
+        The table holds every prefix of what was seen, so a piece goes on from its longest known prefix.
+        """
+        table = self.table
+        found = table.get(piece)
+        if found is not None:
+            return found
+        if len(table) >= self.limit:
+            table.clear()
+            table[b""] = (b"", 0)
+        tokens, n = self.made, len(piece)
+        known = n - 1
+        while piece[:known] not in table:
+            known -= 1
+        last = table[piece[:known]][0]
+        for end in range(known + 1, n + 1):
+            # one token fits and no other: the last one with a byte more is tried first, then all from the longest
+            longer = end - 1 - len(last)
+            t = piece[longer:end]
+            if not (t in tokens and self.fits(piece, longer, t)):
+                for start in range(max(0, end - self.longest), end):
+                    t = piece[start:end]
+                    if t in tokens and start != longer and self.fits(piece, start, t):
+                        break
+            found = table[piece[:end]] = (t, table[piece[: end - len(t)]][1] + 1)
+            last = t
+        return found
+
+    def fits(self, piece: bytes, start: int, token: bytes) -> bool:
+        if not start:
+            return True
+        pair = (self.table[piece[:start]][0], token)
+        ok = self.pairs.get(pair)
+        if ok is None:
+            if len(self.pairs) >= self.limit:
                 self.pairs.clear()
-            got = self.pairs[a, b] = self.merged(a + b) == [a, b]
-        return got
+            ok = self.pairs[pair] = self.agree(*pair)
+        return ok
 
     def piece(self, piece: bytes) -> list[int]:
-        """Token counts at every byte prefix of a piece that merging treats as one."""
-        tokens, agree, n = self.tokens, self.agree, len(piece)
-        last: list[bytes] = [b""] * (n + 1)
-        count = [0] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                t = piece[start:end]
-                if t in tokens and (not start or agree(last[start], t)):
-                    last[end], count[end] = t, count[start] + 1
-                    break
-        return count
+        """Token counts at every byte prefix."""
+        self.reach(piece)
+        return [self.table[piece[:i]][1] for i in range(len(piece) + 1)]
+
+    def piece_total(self, piece: bytes) -> int:
+        return self.reach(piece)[1]
 
     def pieces(self, chunk: str) -> list[bytes]:
+        """The pieces that merging treats one by one."""
+        if _PLAIN.fullmatch(chunk):
+            return [p.encode() for p in _PIECES.findall(chunk)]
         return [chunk[a:b].encode() for _, (a, b) in self.encoder.pre_tokenizer.pre_tokenize_str(chunk)]
 
     def total(self, chunk: bytes) -> int:
-        text = chunk.decode()
-        if _LETTERS.fullmatch(text):
-            return self.piece(chunk)[-1]
-        return sum(self.piece(p)[-1] for p in self.pieces(text))
+        return sum(map(self.piece_total, self.pieces(chunk.decode())))
 
     def prefixes(self, chunk: str) -> list[int]:
         """Exact counts of ``chunk[:i]`` for every i from 0.  Where a longer prefix moves a piece's border
@@ -132,9 +170,13 @@ class PrefixCounter(dict):
         return [sum(self.piece(p)[-1] for p in self.pieces(chunk[:i])) for i in range(len(chunk) + 1)]
 
     def __missing__(self, chunk: bytes) -> int:
-        if len(self) >= self.limit:
+        n = self.old.get(chunk)
+        if n is None:
+            n = self.total(chunk)
+        if len(self) >= self.limit:  # the full cache becomes the old generation
+            self.old = dict(self)
             self.clear()
-        n = self[chunk] = self.total(chunk)
+        self[chunk] = n
         return n
 
     def whole(self, text: bytes) -> bool:
@@ -149,6 +191,20 @@ class PrefixCounter(dict):
             return self.encode(text)
         return sum(sum(map(self.__getitem__, _CHUNK.findall(part))) for part in segments(text))
 
+    def cut(self, text: bytes, budget: int) -> int:
+        """The most code points of a text whose tokens fit the budget: chunks are passed until it is spent."""
+        if self.whole(text):
+            return PrefixProfile(self, text).cut(budget)
+        at = spent = 0
+        for m in _CHUNK.finditer(text):
+            n = self[m[0]]
+            if spent + n > budget:
+                inside = self.prefixes(m[0].decode())
+                return at + max(j for j, c in enumerate(inside) if spent + c <= budget)
+            spent += n
+            at += len(m[0].decode())
+        return at
+
     def profile(self, text: bytes) -> "PrefixProfile":
         return PrefixProfile(self, text)
 
@@ -203,7 +259,7 @@ def count_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vo
 
         def count(value: bytes) -> list[tuple]:
             n = counts.count(value)
-            return [(len(value), n, n > limit, counts.profile(value).cut(limit) if n > limit else None)]
+            return [(len(value), n, n > limit, counts.cut(value, limit) if n > limit else None)]
 
         return count
 
