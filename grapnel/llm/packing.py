@@ -31,7 +31,7 @@ from grapnel.scratch import materialize
 LENGTH = 2048
 END_ID = 1
 GROUP_PIECES = 4096
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -44,6 +44,7 @@ def default_vocabulary(name: str = VOCABULARY) -> str:
 #: Words that need no normalisation but lower case, and what one piece is in them: ASCII and Latin letters.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ɏ"
 _PLAIN = re.compile(f"[!-~{_LETTERS}]+")
+_STOP = re.compile(rb"(?<=[A-Za-z])([.,])(?=[ \t\n\r\x0b\x0c]|\Z)")
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^0-9{_LETTERS}]+")
 
 
@@ -60,7 +61,9 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.encoder, self.limit = Tokenizer.from_file(path), limit
-        self.merges, self.special = self.encoder.model, re.compile("|".join(re.escape(t.content) for t in self.encoder.get_added_tokens_decoder().values()) or r"(?!)")
+        self.merges = self.encoder.model
+        self.special = [t.content for t in self.encoder.get_added_tokens_decoder().values()]
+        self.begins = [s[:2].encode() for s in self.special]
         self.letters = {b: c for c, b in byte_letters().items()}
         self.old: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -76,10 +79,18 @@ class WordIds(dict):
     def __missing__(self, word: bytes) -> bytes:
         found = self.old.get(word)
         if found is None:
-            text = word.decode()
-            if _PLAIN.fullmatch(text) and not self.special.search(text):
-                known = self.pieces
-                found = b"".join([known.get(p) or self.piece(p) for p in _PIECES.findall(text.lower())])
+            text, known = word.decode(), self.pieces
+            if text.isascii() and text.isalpha():
+                low = text.lower()
+                found = known.get(low) or self.piece(low)
+            elif _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
+                low = text.lower()
+                body = low[:-1]
+                if low[-1] in ".," and body.isalpha():
+                    parts = (body, low[-1])
+                else:
+                    parts = (low,) if low.isalpha() else _PIECES.findall(low)
+                found = b"".join([known.get(p) or self.piece(p) for p in parts])
             else:
                 ids = self.encoder.encode(text, add_special_tokens=False).ids
                 found = struct.pack(f"<{len(ids)}I", *ids)
@@ -90,7 +101,12 @@ class WordIds(dict):
         return found
 
     def ids(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+        """Ids of a text.  Fewer distinct words mean fewer to encode, so ASCII is lower-cased first, which the
+        vocabulary does anyway (not where marks might compose otherwise, or a special string might come
+        about), and a full stop or comma between a letter and a blank, a piece of its own, stands apart."""
+        if b"\xcc" not in text and b"\xcd" not in text and not any(s in text for s in self.begins):
+            text = text.lower()
+        return b"".join(map(self.__getitem__, _STOP.sub(rb" \1", text).split()))
 
 
 _CACHES: dict[str, WordIds] = {}
