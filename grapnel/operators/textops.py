@@ -153,7 +153,7 @@ def augmented_titles(spark, sf):
 
 @query("""SELECT d.doc_id, b.item_id, instr(d.text, b.text) - 1 AS start, instr(d.text, b.text) - 1 + length(b.text) AS stop FROM documents d JOIN benchmark b ON contains(d.text, b.text)""")
 def span_locate(spark, sf):
-    """Benchmark passages in documents: a broadcast of the passages, checked by their 12-gram of characters."""
+    """Benchmark passages in documents: the short list of passages is broadcast, the documents stream by."""
     d, b = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote"))
     hits = d.join(F.broadcast(b), F.contains("text", "quote")).withColumn("at", tx.locate(F.col("text"), F.col("quote")))
     return hits.select("doc_id", "item_id", F.col("at.start").alias("start"), F.col("at.end").alias("stop"))
