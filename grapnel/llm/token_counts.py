@@ -10,8 +10,9 @@ A text falls into chunks (blanks, then what follows up to the next blank).  No t
 so counts at all prefixes are the chunks' counts plus a running sum.  Budget and truncation questions
 are answered from these counts, without encoding anything again.
 
-Texts with characters that would move chunk borders (blanks outside ASCII, the vocabulary's special
-strings) are given to the library whole.
+The vocabulary's special strings cut a text first and are one token each; a text with blanks outside
+ASCII is cut into chunks at these too.  Which characters are blanks is asked of the library once a
+process.  A prefix that ends inside a special string is plain text there.  No text goes to the library whole.
 
 Defined results.  A null text is empty and has 0 tokens.  Rows are counted one by one; null ids, repeated
 rows and further columns change nothing.  A prefix that ends inside a character has no count.
@@ -23,7 +24,7 @@ import json
 import os
 import re
 from bisect import bisect_right
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, types as T
 
@@ -33,13 +34,13 @@ LIMIT = 1024
 CACHE_CHUNKS = 300_000
 VOCABULARY = "byte_bpe_50k.json"
 _CHUNK = re.compile(rb"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+\Z")
-#: Blanks that are not ASCII or that only some libraries count as blanks; a text with one is encoded whole.
+#: Characters that some libraries count as blanks; the vocabulary's own library tells which are.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
-#: A chunk that is one piece for sure: Latin letters after at most one blank.
-_LETTERS = re.compile(" ?[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 #: Chunks whose pieces are cut here: one blank at most, then ASCII and Latin letters.
 _LATIN = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 _PLAIN = re.compile(f"[ \n]?[!-~{_LATIN}]+")
+#: Pieces of more bytes than this keep their prefixes out of the table.
+LONG_PIECE = 512
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[^ \\n0-9{_LATIN}]+|\\n")
 
 
@@ -69,8 +70,15 @@ class PrefixCounter(dict):
             told = json.load(f)
         letters = byte_letters()
         spell = lambda s: bytes(map(letters.__getitem__, s))
-        special = {t["content"] for t in told["added_tokens"]}
+        if any(t[flag] for t in told["added_tokens"] for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("special strings that take blanks, need word borders or are normalized")
+        special = sorted({t["content"] for t in told["added_tokens"]}, key=len, reverse=True)
         self.special = [s.encode() for s in special]
+        self.special_strings = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
+        blanks = "".join(chr(c) for c in range(0x10000) if _ODD.match(chr(c)) and self.is_blank(chr(c)))
+        self.odd = re.compile(f"[{blanks}]") if blanks else None
+        self.chunk = re.compile(f"[ \\t\\n\\r\\x0b\\x0c{blanks}]*[^ \\t\\n\\r\\x0b\\x0c{blanks}]+|[ \\t\\n\\r\\x0b\\x0c{blanks}]+\\Z")
+        self.blank_run = re.compile(f"[ \\t\\n\\r\\x0b\\x0c{blanks}]*")
         merges = (m if isinstance(m, list) else m.split(" ") for m in told["model"]["merges"])
         self.rank = {(spell(a), spell(b)): i for i, (a, b) in enumerate(merges)}
         #: How each token is made: (rank of its merge, left part, right part); single bytes come first.
@@ -82,6 +90,10 @@ class PrefixCounter(dict):
         self.table: dict[bytes, tuple[bytes, int]] = {b"": (b"", 0)}
         self.old: dict[bytes, int] = {}
 
+    def is_blank(self, c: str) -> bool:
+        """Whether the library's pre-tokenizer takes it for a blank: it joins neither letters, digits nor signs."""
+        return all(len(self.encoder.pre_tokenizer.pre_tokenize_str(x + c + x)) > 1 for x in "a1!")
+
     def agree(self, a: bytes, b: bytes) -> bool:
         """Whether the two tokens can stand side by side in a result of merging.
 
@@ -123,51 +135,85 @@ class PrefixCounter(dict):
             # one token fits and no other: the last one with a byte more is tried first, then all from the longest
             longer = end - 1 - len(last)
             t = piece[longer:end]
-            if not (t in tokens and self.fits(piece, longer, t)):
+            if not (t in tokens and (not longer or self.fits(table[piece[:longer]][0], t))):
                 for start in range(max(0, end - self.longest), end):
                     t = piece[start:end]
-                    if t in tokens and start != longer and self.fits(piece, start, t):
+                    if t in tokens and start != longer and (not start or self.fits(table[piece[:start]][0], t)):
                         break
             found = table[piece[:end]] = (t, table[piece[: end - len(t)]][1] + 1)
             last = t
         return found
 
-    def fits(self, piece: bytes, start: int, token: bytes) -> bool:
-        if not start:
-            return True
-        pair = (self.table[piece[:start]][0], token)
+    def walk(self, piece: bytes) -> list[int]:
+        """Token counts at every byte prefix of a long piece: the same pass over lists of its own."""
+        tokens, lasts, counts = self.made, [b""], [0]
+        for end in range(1, len(piece) + 1):
+            longer = end - 1 - len(lasts[-1])
+            t = piece[longer:end]
+            if not (t in tokens and (not longer or self.fits(lasts[longer], t))):
+                for start in range(max(0, end - self.longest), end):
+                    t = piece[start:end]
+                    if t in tokens and start != longer and (not start or self.fits(lasts[start], t)):
+                        break
+            lasts.append(t)
+            counts.append(counts[end - len(t)] + 1)
+        return counts
+
+    def fits(self, left: bytes, token: bytes) -> bool:
+        pair = (left, token)
         ok = self.pairs.get(pair)
         if ok is None:
             if len(self.pairs) >= self.limit:
                 self.pairs.clear()
-            ok = self.pairs[pair] = self.agree(*pair)
+            ok = self.pairs[pair] = self.agree(left, token)
         return ok
 
     def piece(self, piece: bytes) -> list[int]:
         """Token counts at every byte prefix."""
+        if len(piece) > LONG_PIECE:
+            return self.walk(piece)
         self.reach(piece)
         return [self.table[piece[:i]][1] for i in range(len(piece) + 1)]
 
     def piece_total(self, piece: bytes) -> int:
-        return self.reach(piece)[1]
+        return self.walk(piece)[-1] if len(piece) > LONG_PIECE else self.reach(piece)[1]
 
-    def pieces(self, chunk: str) -> list[bytes]:
+    def pieces(self, chunk: str) -> list[str]:
         """The pieces that merging treats one by one."""
         if _PLAIN.fullmatch(chunk):
-            return [p.encode() for p in _PIECES.findall(chunk)]
-        return [chunk[a:b].encode() for _, (a, b) in self.encoder.pre_tokenizer.pre_tokenize_str(chunk)]
+            return _PIECES.findall(chunk)
+        return [chunk[a:b] for _, (a, b) in self.encoder.pre_tokenizer.pre_tokenize_str(chunk)]
 
     def total(self, chunk: bytes) -> int:
-        return sum(map(self.piece_total, self.pieces(chunk.decode())))
+        return sum(self.piece_total(p.encode()) for p in self.pieces(chunk.decode()))
+
+    def char_counts(self, piece: str) -> list[int]:
+        """Token counts of a piece at every code point from 0."""
+        counts, at, out = self.piece(piece.encode()), 0, [0]
+        for c in piece:
+            at += len(c.encode())
+            out.append(counts[at])
+        return out
 
     def prefixes(self, chunk: str) -> list[int]:
-        """Exact counts of ``chunk[:i]`` for every i from 0.  Where a longer prefix moves a piece's border
-        (contractions, runs of blanks), the prefix is cut into pieces anew."""
-        if _LETTERS.fullmatch(chunk):
-            ends = [len(chunk[:i].encode()) for i in range(len(chunk) + 1)]
-            counts = self.piece(chunk.encode())
-            return [counts[e] for e in ends]
-        return [sum(self.piece(p)[-1] for p in self.pieces(chunk[:i])) for i in range(len(chunk) + 1)]
+        """Exact counts of ``chunk[:i]`` for every i from 0.
+
+        A longer prefix moves a piece's border in two places only: the blanks a chunk begins with are one
+        piece until something follows them, and a contraction (``'ll``) is two pieces until it is whole.
+        """
+        blanks = self.blank_run.match(chunk).end()
+        out = self.char_counts(chunk[:blanks])
+        at = spent = 0
+        for p in self.pieces(chunk):
+            if at + len(p) > blanks:
+                if p[0] == "'" and len(p) in (2, 3):
+                    counts = [sum(self.piece_total(q.encode()) for q in self.pieces(p[:i])) for i in range(len(p) + 1)]
+                else:
+                    counts = self.char_counts(p)
+                out += [spent + c for c in counts[max(1, blanks + 1 - at) :]]
+            spent += self.piece_total(p.encode())
+            at += len(p)
+        return out
 
     def __missing__(self, chunk: bytes) -> int:
         n = self.old.get(chunk)
@@ -179,30 +225,54 @@ class PrefixCounter(dict):
         self[chunk] = n
         return n
 
-    def whole(self, text: bytes) -> bool:
-        """Whether the library has to see the text whole."""
-        return any(s in text for s in self.special) or _ODD.search(text.decode()) is not None
+    def plain(self, text: bytes) -> bool:
+        """Whether all chunk borders are at ASCII blanks."""
+        return not any(s in text for s in self.special) and (self.odd is None or text.isascii() or self.odd.search(text.decode()) is None)
 
     def encode(self, text: bytes) -> int:
         return len(self.encoder.encode(text.decode(), add_special_tokens=False).ids)
 
+    def cells(self, text: bytes) -> Iterator[tuple[bytes, str]]:
+        """The chunks, each with the special string that follows it (or an empty one)."""
+        if self.plain(text):
+            for part in segments(text):
+                for chunk in _CHUNK.findall(part):
+                    yield chunk, ""
+            return
+        parts = self.special_strings.split(text.decode()) if self.special_strings else [text.decode()]
+        for part, special in zip(parts[::2], [*parts[1::2], ""]):
+            chunks = self.chunk.findall(part) or [""] * bool(special)
+            for chunk in chunks[:-1]:
+                yield chunk.encode(), ""
+            for chunk in chunks[-1:]:
+                yield chunk.encode(), special
+
+    def cell_prefixes(self, chunk: bytes, special: str) -> list[int]:
+        """Counts at every code point of a cell.  Special strings count as such once they are whole."""
+        inside = self.prefixes(chunk.decode())
+        if special:
+            total = inside[-1] + 1
+            inside += [self.count(chunk + special[:i].encode()) for i in range(1, len(special))] + [total]
+        return inside
+
     def count(self, text: bytes) -> int:
-        if self.whole(text):
-            return self.encode(text)
-        return sum(sum(map(self.__getitem__, _CHUNK.findall(part))) for part in segments(text))
+        if self.plain(text):
+            return sum(sum(map(self.__getitem__, _CHUNK.findall(part))) for part in segments(text))
+        return sum(self[chunk] + (special != "") for chunk, special in self.cells(text))
 
     def cut(self, text: bytes, budget: int) -> int:
-        """The most code points of a text whose tokens fit the budget: chunks are passed until it is spent."""
-        if self.whole(text):
-            return PrefixProfile(self, text).cut(budget)
+        """The most code points of a text whose tokens fit the budget: chunks are passed until it is spent.
+
+        No count inside a cell or after it is below the one at its start, so the first cell that ends
+        beyond the budget is the last to look into.
+        """
         at = spent = 0
-        for m in _CHUNK.finditer(text):
-            n = self[m[0]]
+        for chunk, special in self.cells(text):
+            n = self[chunk] + (special != "")
             if spent + n > budget:
-                inside = self.prefixes(m[0].decode())
-                return at + max(j for j, c in enumerate(inside) if spent + c <= budget)
+                return at + max(j for j, c in enumerate(self.cell_prefixes(chunk, special)) if spent + c <= budget)
             spent += n
-            at += len(m[0].decode())
+            at += len(chunk.decode()) + len(special)
         return at
 
     def profile(self, text: bytes) -> "PrefixProfile":
@@ -213,33 +283,25 @@ class PrefixProfile:
     """Counts at all prefixes of one text: running sums at chunk borders, the chunk's own counts between."""
 
     def __init__(self, counter: PrefixCounter, text: bytes):
-        self.counter, self.text = counter, text.decode()
-        self.exact = counter.whole(text)
-        self.at, self.sums = [0], [0]
-        if not self.exact:
-            for part in segments(text):
-                for chunk in _CHUNK.findall(part):
-                    self.at.append(self.at[-1] + len(chunk.decode()))
-                    self.sums.append(self.sums[-1] + counter[chunk])
+        self.counter, self.at, self.sums, self.cells = counter, [0], [0], []
+        for chunk, special in counter.cells(text):
+            self.cells.append((chunk, special))
+            self.at.append(self.at[-1] + len(chunk.decode()) + len(special))
+            self.sums.append(self.sums[-1] + counter[chunk] + (special != ""))
 
     def count(self, n_chars: int) -> int:
         """Tokens of the first ``n_chars`` code points."""
-        if self.exact:
-            return self.counter.encode(self.text[:n_chars].encode())
         i = bisect_right(self.at, n_chars) - 1
         if self.at[i] == n_chars or i + 1 == len(self.at):
             return self.sums[i]
-        return self.sums[i] + self.counter.prefixes(self.text[self.at[i] : self.at[i + 1]])[n_chars - self.at[i]]
+        return self.sums[i] + self.counter.cell_prefixes(*self.cells[i])[n_chars - self.at[i]]
 
     def cut(self, budget: int) -> int:
-        """The most code points whose tokens fit the budget.  Counts at chunk borders never fall."""
-        if self.exact:
-            return next(i for i in range(len(self.text), -1, -1) if self.count(i) <= budget)
+        """The most code points whose tokens fit the budget.  Counts at cell borders never fall."""
         i = bisect_right(self.sums, budget) - 1
         if i + 1 == len(self.at):
-            return len(self.text)
-        inside = self.counter.prefixes(self.text[self.at[i] : self.at[i + 1]])
-        return self.at[i] + max(j for j, c in enumerate(inside) if self.sums[i] + c <= budget)
+            return self.at[-1]
+        return self.at[i] + max(j for j, c in enumerate(self.counter.cell_prefixes(*self.cells[i])) if self.sums[i] + c <= budget)
 
 
 _COUNTERS: dict[str, PrefixCounter] = {}

@@ -133,6 +133,24 @@ def test_prefix_counts_are_the_library_counts(text):
         assert counts[profile.cut(budget)] <= budget
 
 
+def test_odd_texts_are_counted_without_the_library(monkeypatch):
+    c = token_counts.counter(token_counts.default_vocabulary())
+    encode = lambda s: len(c.encoder.encode(s, add_special_tokens=False).ids)
+    monkeypatch.setattr(token_counts.PrefixCounter, "encode", lambda self, text: pytest.fail("given to the library"), raising=False)
+    r = random.Random(3)
+    words = ["<|endoftext|>", "<|endof", "'ll", "'re", " the", " word", "ing", "\xa0", "\u3000\u3000", "\u200b", "\ufeff", "\x85", "\x1c", "!!", "<", "  ", "\n", "中文字", "1234"]
+    for text in ("".join(r.choices(words, k=r.randrange(24))) for _ in range(400)):
+        counts = [encode(text[:i]) for i in range(len(text) + 1)]
+        profile = c.profile(text.encode())
+        assert [profile.count(i) for i in range(len(text) + 1)] == counts and c.count(text.encode()) == counts[-1]
+        for budget in {0, 1, 3, counts[-1], max(0, counts[-1] - 1)}:
+            most = max(i for i, n in enumerate(counts) if n <= budget)
+            assert profile.cut(budget) == most and c.cut(text.encode(), budget) == most
+    for text in ("word text " * 20_000 + "\xa0" + "more words " * 20_000, "的一是不了人我在" * 500 + "\u3000" + "!?" * 2000):
+        limit = c.cut(text.encode(), 1024)
+        assert c.count(text.encode()) == encode(text) and encode(text[:limit]) <= 1024 < encode(text[: limit + 1])
+
+
 @settings(max_examples=150, deadline=None)
 @given(ODD)
 def test_word_ids_are_the_library_ids(text):
