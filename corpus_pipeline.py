@@ -23,16 +23,30 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return done.withColumn("text", F.col("__lines")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The documents, written with a ``__row`` of their own each: ids can be null or shared, rows can't."""
+    return materialize(docs.select(*COLUMNS).withColumn("__row", F.monotonically_increasing_id()), "rows")
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with a group's smallest id stays."""
-    stays = simhash.near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(stays.hint("shuffle_hash"), "doc_id", "left_semi").select(*COLUMNS)
+    """Exactly one row a group stays: the one with the smallest id.
+
+    Null ids come after all others, and a row with one is a document like another.  Among rows that share
+    the smallest id the text's hash decides, then the row's place.
+    """
+    rows = numbered(docs)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.col("__row").alias("row"))
+    groups = simhash.near_duplicates(rows.select(key.alias("__key"), "text"), "__key")
+    stays = groups.where(F.col("__key.row") == F.col("component_id.row")).select(F.col("__key.row").alias("__row"))
+    return rows.join(stays.hint("shuffle_hash"), "__row", "left_semi").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows are judged one by one, whatever their ids: null ones, and clean rows that share a contaminated row's."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    bad = decontam.contaminate(docs, benchmark).where("contaminated").select("doc_id")
-    return docs.select(*COLUMNS).join(bad.hint("shuffle_hash"), "doc_id", "left_anti").select(*COLUMNS)
+    rows = numbered(docs)
+    bad = decontam.contaminate(rows.select("__row", "text"), benchmark, "__row").where("contaminated").select("__row")
+    return rows.join(bad.hint("shuffle_hash"), "__row", "left_anti").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

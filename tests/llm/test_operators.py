@@ -245,6 +245,21 @@ def test_pipeline_against_plain_python(spark):
     assert brute.pieces_ok(kept, packed) is None
 
 
+def test_pipeline_decides_by_row(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(11)
+    a, b, c, d, e, f, bad = (" ".join("".join(r.choices("abcdefghijklmnop", k=7)) for _ in range(60)) for _ in range(7))
+    table = lambda rows: spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = [(None, a, "1")] * 40 + [(None, b, "1"), (1, c, "1"), (1, c, "2"), (2, c, "1"), (None, c, "1"), (3, d, "1"), (3, e, "1"), (4, e, "1"), (1, e, "2"), (4, f, "1")]
+    left = corpus_pipeline.one_of_each_group(spark, table(docs), "").collect()
+    assert sorted((x["text"], x["doc_id"] or 0) for x in left) == sorted([(a, 0), (b, 0), (c, 1), (d, 3), (e, 1), (f, 4)])
+    spark.createDataFrame([(1, " ".join(bad.split()[10:25]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(None, bad, "1")] * 40 + [(None, a, "1"), (None, a, "1"), (1, bad, "1"), (1, b, "1"), (2, c, "1"), (3, bad, "1")]
+    left = corpus_pipeline.drop_contaminated(spark, table(docs), str(tmp_path)).collect()
+    assert sorted((x["text"], x["doc_id"] or 0) for x in left) == sorted([(a, 0), (a, 0), (b, 1), (c, 2)])
+
+
 def test_checksums_are_of_ids():
     assert zlib.crc32(b"") == 0 and list(itertools.islice(token_counts.byte_letters(), 1)) == ["!"]
     assert Tokenizer.from_file(packing.default_vocabulary()).get_vocab_size() > 49_000
