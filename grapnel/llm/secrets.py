@@ -29,8 +29,8 @@ WINDOW = 20
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Least bits a character in the best window, by class of the whole candidate.
 LEAST_BITS = {"hex": 3.0, "base64": 3.6}
-#: Candidates that contain one of these are not secrets: placeholders, runs of the alphabet, single cases.
-ALLOWED = (r"(?i)example|placeholder|your[_-]?(api)?[_-]?key|x{6,}", r"(?i)abcdefgh|0123456789|qwerty", r"^[A-Za-z]+$", r"^[0-9]+$", r"^[_=+/-]+")
+#: Candidates that contain one of these are not secrets: placeholders, runs of the alphabet, nothing but letters, digits or signs.
+ALLOWED = (r"(?i)example|placeholder|your[_-]?(api)?[_-]?key|x{6,}", r"(?i)abcdefgh|0123456789|qwerty", r"^[A-Za-z]+$", r"^[0-9]+$", r"^[_=+/-]+$")
 
 
 def _placed(text: Column, pattern: str, kind: str, ok: Column | None = None, lengths: Column | None = None) -> Column:
@@ -84,11 +84,21 @@ def window_bits(candidate: Column, width: int = WINDOW) -> Column:
 
 
 def is_secret(candidate: Column) -> Column:
-    """Of a candidate of :data:`WINDOW` characters or more."""
-    allowed = F.lit(False)
+    """Of a candidate of :data:`WINDOW` characters or more.
+
+    No key starts with ``=``, so leading ones are not scored; other signs can start one and are, except
+    before hexadecimal digits.
+    """
+    rest, bare = (F.regexp_replace(candidate, p, "") for p in ("^=+", "^[_=+/-]+"))
+    is_hex = bare.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$") & (F.length(bare) >= WINDOW)
+    return _scores(F.when(is_hex, bare).otherwise(rest), is_hex)
+
+
+def _scores(candidate: Column, is_hex: Column) -> Column:
+    allowed = F.length(candidate) < WINDOW
     for p in ALLOWED:
         allowed = allowed | candidate.rlike(p)
-    least = F.when(candidate.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), F.lit(LEAST_BITS["hex"])).otherwise(F.lit(LEAST_BITS["base64"]))
+    least = F.when(is_hex, F.lit(LEAST_BITS["hex"])).otherwise(F.lit(LEAST_BITS["base64"]))
     return F.when(allowed | ~candidate.rlike("[0-9]") | ~candidate.rlike("[A-Za-z]"), F.lit(False)).otherwise(window_bits(candidate) >= least)
 
 

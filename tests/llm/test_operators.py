@@ -83,6 +83,15 @@ def test_secret_allow_list(spark):
     assert got[2] == [] and got[3] == []
 
 
+def test_secrets_may_start_with_signs(spark):
+    key, upper = "q7Zk2LmX9vB4tR8wPd1sYc6NfH3gJ5aUe0TiKo2M", "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"
+    found = [f"KEY ={key}", f"KEY +{key}", f"KEY /{key}", f"KEY -{key}", f"KEY _{key}", f"KEY ={upper}", f"KEY -{upper}", f"KEY -{key[:19]}"]
+    clean = ["=" * 30, "KEY " + "-" * 12 + "+/=_" * 5, f"KEY ={key[:19]}", "KEY =your_api_key_" + key, "/" + "Zq1" * 12, "=thisisaverylongsinglewordwithoutdigits"]
+    got = {r["doc_id"]: [tuple(x)[:3] for x in r["all_spans"]] for r in secrets.scan(frame(spark, list(enumerate(found + clean)))).collect()}
+    assert [got[i] for i in range(len(found))] == [[(4, len(t), 3)] for t in found]
+    assert [got[len(found) + i] for i in range(len(clean))] == [[]] * len(clean)
+
+
 def test_sharding_table():
     names = [f"s{i}" for i in range(10)]
     t = sharding.lookup_table(names, 1009)
