@@ -89,21 +89,24 @@ def alias_conflicts(concepts: DataFrame) -> DataFrame:
 def bridge_candidates(concepts: DataFrame) -> DataFrame:
     """Cross-graph links between active concepts, classified by the first rule that applies.
 
-    Rules that compare keys are equi-joins (label, alias); only the weakest, shared characters in one
-    namespace, compares all pairs of that namespace, so it joins on the namespace and the concepts'
-    (small) character sets.
+    Rules that compare keys are equi-joins (label, key after its prefix, alias).  The two weakest compare
+    all pairs: of one namespace, joined with the concepts' (small) character sets, and of a framework
+    with a concept, which are joined on the namespace that applies.
     """
-    c = concepts.where("status = 'active'").select("graph_id", "concept_key", F.lower("label").alias("label"), "namespace", "aliases", F.array_distinct(F.split(F.lower("label"), "")).alias("chars"))
+    c = concepts.where("status = 'active'").select("graph_id", "concept_key", F.lower("label").alias("label"), "namespace", "aliases", F.array_distinct(F.split(F.lower("label"), "")).alias("chars"), F.regexp_replace("concept_key", "^[^:]*:", "").alias("slug"))
     a, b = (c.select(*(F.col(x).alias(f"{x}_{s}") for x in c.columns)) for s in ("a", "b"))
     pick = ("graph_id_a", "concept_key_a", "graph_id_b", "concept_key_b")
     order = F.col("graph_id_a") < F.col("graph_id_b")
     same = a.join(b, order & (F.col("label_a") == F.col("label_b"))).select(*pick, F.lit(1).alias("rule"), F.lit("same_as").alias("bridge_type"), F.lit(0.9).alias("confidence"), (F.col("namespace_a") == F.col("namespace_b")).alias("same_namespace"))
+    slugs = a.join(b, order & (F.col("slug_a") == F.col("slug_b"))).select(*pick, F.lit(2).alias("rule"), F.lit("same_as").alias("bridge_type"), F.lit(0.8).alias("confidence"), (F.col("namespace_a") == F.col("namespace_b")).alias("same_namespace"))
     fa, fb = a.withColumn("alias", F.explode("aliases_a")), b.withColumn("alias_b", F.explode("aliases_b"))
     alias = fa.join(fb, order & (F.col("alias") == F.col("alias_b"))).groupBy(*pick, (F.col("namespace_a") == F.col("namespace_b")).alias("same_namespace")).agg(F.count("*").alias("n"))
     alias = alias.select(*pick, F.lit(3).alias("rule"), F.lit("same_as").alias("bridge_type"), F.round(F.least(F.lit(0.7), F.lit(0.4) + F.col("n") * 0.1), 6).alias("confidence"), "same_namespace")
     like = a.join(b, order & (F.col("namespace_a") == F.col("namespace_b")) & (F.size(F.array_intersect("chars_a", "chars_b")) >= 3)).select(*pick, F.lit(4).alias("rule"), F.lit("analogous_to").alias("bridge_type"), F.lit(0.4).alias("confidence"), F.lit(True).alias("same_namespace"))
+    other = F.when(F.col("namespace_a") == "framework", "concept").when(F.col("namespace_a") == "concept", "framework")
+    applies = a.join(b, order & (other == F.col("namespace_b"))).select(*pick, F.lit(5).alias("rule"), F.lit("applies_to").alias("bridge_type"), F.lit(0.3).alias("confidence"), F.lit(False).alias("same_namespace"))
     w = Window.partitionBy(*pick).orderBy("rule")
-    best = same.unionByName(alias).unionByName(like).withColumn("rn", F.row_number().over(w)).where("rn = 1")
+    best = same.unionByName(slugs).unionByName(alias).unionByName(like).unionByName(applies).withColumn("rn", F.row_number().over(w)).where("rn = 1")
     active = (F.col("bridge_type") == "same_as") & (F.col("confidence") >= 0.8) & F.col("same_namespace")
     return best.withColumn("review_status", F.when(active, "active").otherwise("candidate")).drop("rn", "rule", "same_namespace")
 

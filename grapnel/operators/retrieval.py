@@ -145,7 +145,7 @@ def ask(spark, sf_dir: str, question: str, mode: str | None = None, top_k: int =
     nodes, edges = traversal.stored_graph(spark, sf_dir)
     found = text_search(nodes.where("node_type = 'claim'"), question, ["text"], top_k, ["node_id"])
     starts = [r["node_id"] for r in found.select("node_id").limit(n_starts).collect()]  # a top-k of the question
-    result = traversal.walk(nodes, edges, starts, plan)
+    result = traversal.walk(nodes, edges, starts, plan, traversal.stored_bridges(spark, sf_dir) if plan.bridges else None)
     return result, packet(result, found)
 
 

@@ -17,6 +17,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
+from grapnel.operators.linkage import bridge_candidates
 from grapnel.plans import views
 from grapnel.plans.views import oracle
 from grapnel.registry import query
@@ -25,6 +26,7 @@ from grapnel.scratch import materialize
 BOTH_WAYS = ("supports", "constrains", "contradicts", "refines", "extends", "supersedes", "derived_from")
 SPAN_GATED = ("claim", "evidence", "limitation")
 MOST_COST = 9.0
+BRIDGE_COST = 5.0
 
 
 @dataclass(frozen=True)
@@ -73,8 +75,9 @@ def _first_parallel(adj: DataFrame) -> DataFrame:
 
 
 def bridge_adjacency(bridges: DataFrame, plan: WalkPlan) -> DataFrame:
+    """Outgoing active bridges of the plan's types; ``graph_id`` is the graph whose node they start from."""
     return bridges.where(F.col("bridge_type").isin(*plan.bridges) & (F.col("review_status") == "active") & (F.col("confidence") >= plan.min_confidence)).select(
-        F.col("source_id").alias("node"), F.col("bridge_type").alias("type"), F.col("target_id").alias("neighbor"), "confidence", F.lit(0.5).alias("importance"), "cost"
+        F.col("source_id").alias("node"), F.col("source_graph_id").alias("graph_id"), F.col("bridge_type").alias("type"), F.col("target_id").alias("neighbor"), "confidence", F.lit(0.5).alias("importance"), "cost"
     )
 
 
@@ -109,13 +112,14 @@ def walk(nodes: DataFrame, edges: DataFrame, starts: list[str], plan: WalkPlan,
         fresh = frame.where(~F.col("node_id").isin(*known)) if known else frame
         # a level accepts at most `room` nodes, so the join's top-k is all that it can use
         level = gated.join(F.broadcast(fresh) if depth == 0 else fresh, "node_id").orderBy("priority", "node_id").limit(room)
-        accepted, over = [], False
-        for r in level.select("node_id", "node_type", "priority", (F.length("text") / 4).cast("int").alias("tokens"), "confidence", "importance", "text").collect():
+        accepted, homes, over = [], [], False
+        for r in level.select("node_id", "node_type", "priority", (F.length("text") / 4).cast("int").alias("tokens"), "confidence", "importance", "text", "graph_id").collect():
             if tokens >= plan.budget:
                 over = True
                 break
             tokens += r["tokens"]
             accepted.append(r["node_id"])
+            homes.append((r["node_id"], r["graph_id"]))
             seen.append((r["node_id"], r["node_type"], depth, len(seen) + 1, r["confidence"], r["importance"], r["text"]))
         if len(seen) >= plan.max_nodes:
             stop = "max_nodes"
@@ -125,7 +129,8 @@ def walk(nodes: DataFrame, edges: DataFrame, starts: list[str], plan: WalkPlan,
             break
         near = _first_parallel(adj.where(F.col("node").isin(*accepted)))
         if hops is not None:
-            near = near.unionByName(hops.where(F.col("node").isin(*accepted)), allowMissingColumns=True)
+            own = F.broadcast(spark.createDataFrame(homes, "node string, graph_id string"))
+            near = near.unionByName(hops.where(F.col("node").isin(*accepted)).join(own, ["node", "graph_id"]).drop("graph_id"), allowMissingColumns=True)
         degree = {(r["node"], r["type"]): r["n"] for r in near.groupBy("node", "type").agg(F.count("*").alias("n")).collect()}
         opened = []
         for n in accepted:
@@ -226,9 +231,15 @@ def stored_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return materialize(views.nodes(spark, sf_dir), "nodes"), materialize(views.edges(spark, sf_dir), "edges")
 
 
+def stored_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bridges between the graphs' concepts as a written table."""
+    found = bridge_candidates(materialize(views.concepts(spark, sf_dir), "concepts"))
+    return materialize(found.select(F.col("graph_id_a").alias("source_graph_id"), F.col("concept_key_a").alias("source_id"), F.col("concept_key_b").alias("target_id"), "bridge_type", "review_status", "confidence", F.lit(BRIDGE_COST).alias("cost")), "bridges")
+
+
 def _run(spark, sf, plan: WalkPlan) -> Walk:
     starts = _section_starts(spark, sf) if plan.mode == "trace" else _starts(spark, sf)
-    return walk(*stored_graph(spark, sf), starts, plan)
+    return walk(*stored_graph(spark, sf), starts, plan, stored_bridges(spark, sf) if plan.bridges else None)
 
 
 def _sql(plan: WalkPlan, body: str) -> str:
@@ -241,8 +252,6 @@ def _visited_sql(plan: WalkPlan) -> str:
 
 
 for _plan in PRESETS.values():
-    if _plan.bridges:  # bridges have their own query
-        _plan = replace(_plan, bridges=())
     query(_visited_sql(_plan), name=f"walk_{_plan.mode}")(lambda spark, sf, p=_plan: _run(spark, sf, p).visited.drop("text"))
 
 _AUDIT, _EXPLAIN = PRESETS["audit"], PRESETS["explain"]

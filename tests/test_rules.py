@@ -6,8 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from grapnel import catalog
 from grapnel.functions import text as tx
-from grapnel.operators import retrieval, structure, traversal
+from grapnel.operators import linkage, retrieval, structure, traversal
 from grapnel.sources import connectors
 
 
@@ -120,3 +121,29 @@ def test_walk_equals_the_priority_queue(spark, seed):
     assert [x["node_id"] for x in got.visited.orderBy("pop_order").collect()] == order
     if got.stop == "exhausted":
         assert sorted((x["node"], x["type"], x["neighbor"]) for x in got.edges.collect()) == trail
+
+
+def test_bridge_rules_in_order(spark):
+    rows = [
+        ("g1", "concept:cell", "cell", "topic", []), ("g2", "entity:cell", "zzz", "topic", []), ("g2", "concept:nucleus", "qqq", "method", []),
+        ("g1", "concept:nucleus", "www", "entity", []), ("g1", "framework:f", "ff", "framework", []), ("g3", "concept:c", "kk", "concept", ["x"]), ("g4", "framework:g", "gg", "framework", ["x"]),
+    ]
+    c = spark.createDataFrame([(*r, "active") for r in rows], "graph_id string, concept_key string, label string, namespace string, aliases array<string>, status string")
+    got = {(r["concept_key_a"], r["concept_key_b"]): (r["bridge_type"], r["confidence"], r["review_status"]) for r in linkage.bridge_candidates(c).collect()}
+    assert got == {
+        ("concept:cell", "entity:cell"): ("same_as", 0.8, "active"), ("concept:nucleus", "concept:nucleus"): ("same_as", 0.8, "candidate"),
+        ("framework:f", "concept:c"): ("applies_to", 0.3, "candidate"), ("concept:c", "framework:g"): ("same_as", 0.5, "candidate"),
+    }
+
+
+def test_transfer_walks_bridges(spark, monkeypatch):
+    nodes = spark.createDataFrame([(n, "section", g, "", 1.0, 1.0, True) for n, g in [("a", "g1"), ("b", "g2"), ("c", "g3"), ("d", "g4"), ("e", "g5"), ("x", "g2"), ("y", "g2"), ("z", "g2")]], "node_id string, node_type string, graph_id string, text string, confidence double, importance double, has_span boolean")
+    edges = spark.createDataFrame([], "relation_id string, source_id string, target_id string, relation_type string, confidence double, importance double, cost double")
+    made = [("g1", "a", "b", "analogous_to", "active", 0.9), ("g2", "b", "c", "transfers_to", "active", 0.9), ("g3", "c", "d", "applies_to", "active", 0.9), ("g4", "d", "e", "applies_to", "active", 0.9)]
+    made += [("g9", "a", "x", "analogous_to", "active", 0.9), ("g1", "a", "y", "analogous_to", "candidate", 0.9), ("g1", "a", "z", "same_as", "active", 0.9)]
+    bridges = spark.createDataFrame([(*m, 5.0) for m in made], "source_graph_id string, source_id string, target_id string, bridge_type string, review_status string, confidence double, cost double")
+    monkeypatch.setattr(traversal, "stored_graph", lambda spark, sf: (nodes, edges))
+    monkeypatch.setattr(traversal, "_starts", lambda spark, sf: ["a"])
+    monkeypatch.setattr(traversal, "stored_bridges", lambda spark, sf: bridges, raising=False)
+    got = catalog.QUERIES["walk_transfer"](spark, "")
+    assert [r["node_id"] for r in got.orderBy("pop_order").collect()] == ["a", "b", "c", "d"]  # three jumps and no more
