@@ -8,7 +8,7 @@ stay where they are.  A key's slot is its hash modulo the table's size: one broa
 The table's size is a parameter (65,537 slots of two integers), so the broadcast never grows with the data.
 
 Defined results.  A null key hashes as a fixed value and gets a shard like any key; repeated keys share a
-shard; further columns are passed through.
+shard; further columns are passed through, but those named ``slot`` or ``shard`` give way to the results.
 """
 
 from __future__ import annotations
@@ -41,10 +41,12 @@ def lookup_table(shards: list[str], slots: int = SLOTS) -> list[int]:
 
 
 def place(frame: DataFrame, key: str, shards: list[str], slots: int = SLOTS) -> DataFrame:
-    """``frame`` with ``slot`` (int) and ``shard`` (string)."""
-    spark = frame.sparkSession
-    rows = F.broadcast(spark.createDataFrame(list(enumerate(map(shards.__getitem__, lookup_table(shards, slots)))), "slot int, shard string"))
-    return frame.withColumn("slot", F.pmod(F.xxhash64(F.col(key)), F.lit(slots)).cast("int")).join(rows, "slot", "left")
+    """``frame`` with ``slot`` (int) and ``shard`` (string) as its last columns."""
+    rows = list(enumerate(map(shards.__getitem__, lookup_table(shards, slots))))
+    table = frame.sparkSession.createDataFrame(rows, "__slot int, __shard string")
+    placed = frame.withColumn("__slot", F.pmod(F.xxhash64(F.col(key)), F.lit(slots)).cast("int")).join(F.broadcast(table), "__slot", "left")
+    others = (F.col(f"`{c}`") for c in frame.columns if c not in ("slot", "shard"))
+    return placed.select(*others, F.col("__slot").alias("slot"), F.col("__shard").alias("shard"))
 
 
 def shard_loads(placed: DataFrame, text: str = "text") -> DataFrame:
