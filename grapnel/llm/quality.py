@@ -6,7 +6,8 @@ would a policy keep without this rule?) are sums over the same bits.  Nothing is
 the ledger; an ablation is one aggregate row a policy.
 
 Defined results.  A null text has no words and no lines with words; rows are measured one by one, so
-null ids, repeated rows and further columns change nothing.  Repeated windows of words are found by
+null ids and repeated rows change nothing.  Further columns pass through, but those that have the name of
+one of the ledger's columns: the ledger's take their place.  Repeated windows of words are found by
 their 64-bit hash inside one document.
 """
 
@@ -47,7 +48,7 @@ class Policy:
 
 
 BASE = Policy("base", 1, ("few_words", "repeated_windows"))
-DEFAULT = Policy("default", 1, ("few_words", "repeated_windows", "odd_word_length", "symbols", "repeated_lines"))
+DEFAULT = Policy("default", 2, ("few_words", "repeated_windows", "odd_word_length", "symbols", "repeated_lines"))
 POLICIES = (BASE, DEFAULT)
 
 
