@@ -16,10 +16,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from grapnel.llm.text import let
+from grapnel.llm.text import before, let
 
 LOSS_ROLE = "assistant"
 OPEN, CLOSE, SEP = "<turn ", "</turn>\n", "<sep>"
+LEAF = 4096  # code points
 
 
 def escape(text: Column) -> Column:
@@ -50,14 +51,9 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
         return let(starts, lambda st: F.transform(st, lambda s, j: block(s, F.coalesce(F.get(st, j + 1), F.size(t)))))
 
     blocks = chats.select(conv_id, let(F.col("__turns"), merged).alias("__blocks"))
-    spans = F.aggregate(
-        "__blocks",
-        F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<struct<start:int,length:int>>)").alias("out")),
-        lambda acc, b: F.struct(
-            (acc["at"] + F.length(b["head"]) + F.length(b["body"]) + len(CLOSE)).alias("at"),
-            F.when(b["role"] == LOSS_ROLE, F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(b["head"])).alias("start"), F.length(b["body"]).alias("length"))))).otherwise(acc["out"]).alias("out"),
-        ),
-    )["out"]
+    starts = before(F.transform("__blocks", lambda b: F.length(b["head"]) + F.length(b["body"]) + len(CLOSE)))
+    bodies = F.zip_with("__blocks", starts, lambda b, at: F.struct((b["role"] == LOSS_ROLE).alias("told"), (at.cast("int") + F.length(b["head"])).alias("start"), F.length(b["body"]).alias("length")))
+    spans = F.transform(F.filter(bodies, lambda x: x["told"]), lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length")))
     formatted = F.array_join(F.transform("__blocks", lambda b: F.concat(b["head"], b["body"], F.lit(CLOSE))), "")
     return blocks.select(conv_id, formatted.alias("formatted"), spans.alias("loss"))
 
@@ -75,5 +71,17 @@ def parse(formatted: Column) -> Column:
 
 
 def under_mask(formatted: str, loss: str) -> Column:
-    """The text under the loss mask, unescaped, nothing between."""
-    return F.array_join(F.transform(loss, lambda s: unescape(F.replace(F.substr(F.col(formatted), s["start"] + 1, s["length"]), F.lit(SEP), F.lit("")))), "")
+    """The text under the loss mask, unescaped, nothing between.
+
+    A position in a long text is found by walking to it, so the text is cut into leaves first and a span
+    only looks at its own.
+    """
+    def inside(leaves: Column) -> Column:
+        def cut(s: Column) -> Column:
+            first, last = F.floor(s["start"] / LEAF), F.floor((s["start"] + s["length"]) / LEAF)
+            own = F.array_join(F.slice(leaves, (first + 1).cast("int"), (last - first + 1).cast("int")), "")
+            return unescape(F.replace(F.substr(own, (F.pmod(s["start"], F.lit(LEAF)) + 1).cast("int"), s["length"]), F.lit(SEP), F.lit("")))
+
+        return F.array_join(F.transform(loss, cut), "")
+
+    return let(F.regexp_extract_all(F.col(formatted), F.lit(f"(?s).{{1,{LEAF}}}"), F.lit(0)), inside)

@@ -43,3 +43,30 @@ def without(text: Column, characters: str) -> Column:
 def rows_again(n: str) -> Column:
     """A generator of as many rows as column ``n`` says: repeated input rows come back."""
     return F.explode(F.array_repeat(F.lit(1), F.col(n).cast("int")))
+
+
+#: Elements that :func:`running` takes at a time.
+BLOCK = 256
+
+
+def running(values: Column, zero: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """For each element what ``add`` makes of all elements before it, from ``zero``; ``add`` is associative.
+
+    A fold that appends to an array copies it at every step.  Here blocks of :data:`BLOCK` elements are
+    folded one by one and then lifted by what came before them, so long arrays stay cheap.
+    """
+
+    def scan(xs: Column) -> Column:
+        none = F.slice(F.array(zero), 1, 0)
+        return F.aggregate(xs, F.struct(zero.alias("at"), none.alias("out")), lambda acc, x: F.struct(add(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+
+    def lifted(vs: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(vs), F.lit(1)), F.lit(BLOCK)), lambda i: scan(F.slice(vs, i, BLOCK)))
+        return let(blocks, lambda bs: F.flatten(F.zip_with(bs, scan(F.transform(bs, lambda b: b["at"]))["out"], lambda b, base: F.transform(b["out"], lambda x: add(base, x)))))
+
+    return let(values, lifted)
+
+
+def before(lengths: Column) -> Column:
+    """The sum of all elements before each (long)."""
+    return running(F.transform(lengths, lambda x: x.cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)
