@@ -20,11 +20,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from grapnel.llm.text import BLANKS, ascii_lower
+from grapnel.llm.text import BLANKS, ascii_lower, let
 from grapnel.scratch import materialize
 
 MIN_KEY = 10  # code points
 SHARES = 1024  # a key with more than this fraction of all lines is hot
+BROADCAST_ROWS = 1_000_000  # hot keys; beyond, the engine chooses the join
 SHARE_ROWS = (1_000, 2_000_000)  # least and most rows that one key brings to a task
 
 
@@ -43,18 +44,20 @@ def _occurrences(docs: DataFrame, doc_id: str, text: str, min_key: int) -> DataF
 
 
 def keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_key: int = MIN_KEY, share_rows: tuple[int, int] = SHARE_ROWS) -> DataFrame:
-    """One row for each document that loses lines: ``__doc``, ``__fp`` (its text's hash), ``__drop``
-    (array of 64-bit words, a set bit drops the line) and ``__n_dropped``."""
+    """One row for each document that loses lines: ``__doc``, ``__fp`` (its text's hash), ``__drop`` (array of
+    ``skip``, the 64-bit words before in which every line stays, and ``bits``, the next word, where a set bit
+    drops the line) and ``__n_dropped``."""
     lines = materialize(_occurrences(docs, doc_id, text, min_key), "line-hashes")
-    most = max(share_rows[0], min(share_rows[1], lines.count() // SHARES))
+    total = lines.count()
+    most = max(share_rows[0], min(share_rows[1], total // SHARES))
     prefix = F.shiftrightunsigned("__h1", 48).alias("__prefix")
     wide = lines.groupBy(prefix).count().where(F.col("count") > most).select("__prefix")  # 65,536 rows at most
     hot = (
         lines.withColumn("__prefix", prefix).join(F.broadcast(wide), "__prefix", "left_semi")
         .groupBy("__h1", "__h2").agg(F.count("*").alias("__n"), F.min("__doc").alias("__first"))
         .where(F.col("__n") > most).drop("__n")
-    )  # fewer rows than lines / most
-    told = lines.join(F.broadcast(hot), ["__h1", "__h2"], "left")
+    )  # fewer rows than total / most
+    told = lines.join(F.broadcast(hot) if total // most <= BROADCAST_ROWS else hot, ["__h1", "__h2"], "left")
     run = Window.partitionBy("__h1", "__h2").orderBy("__doc", "__pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     streamed = (
         told.where(F.col("__first").isNull()).drop("__first")
@@ -67,26 +70,26 @@ def keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
         .repartition("__doc", "__fp")
     )
     words = dropped.groupBy("__doc", "__fp", F.expr("__pos div 64").alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, __pos % 64)")).alias("__bits"))
-    sparse = words.groupBy("__doc", "__fp").agg(
-        F.map_from_entries(F.collect_list(F.struct("__word", "__bits"))).alias("__words"), F.max("__word").alias("__last"), F.sum(F.bit_count("__bits")).cast("long").alias("__n_dropped")
-    )
-    dense = F.transform(F.sequence(F.lit(0).cast("long"), F.col("__last")), lambda w: F.coalesce(F.element_at("__words", w), F.lit(0).cast("long")))
-    return sparse.select("__doc", "__fp", dense.alias("__drop"), "__n_dropped")
+    sparse = words.groupBy("__doc", "__fp").agg(F.sort_array(F.collect_list(F.struct("__word", "__bits"))).alias("__set"), F.sum(F.bit_count("__bits")).cast("long").alias("__n_dropped"))
+    skipped = lambda set_: F.transform(set_, lambda x, i: F.struct((x["__word"] - F.coalesce(F.get(set_, i - 1)["__word"], F.lit(-1)) - 1).cast("int").alias("skip"), x["__bits"].alias("bits")))
+    return sparse.select("__doc", "__fp", let(F.col("__set"), skipped).alias("__drop"), "__n_dropped")
 
 
 def apply_keep(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``__lines`` (kept lines joined by a line feed), ``__n_lines`` and ``__n_dropped``.
 
-    The text moves once; the bitmaps are the built side of the hash join, so no text is sorted.
+    The text moves once; the bitmaps are the built side of the hash join, so no text is sorted.  A bitmap is
+    unpacked in the row that needs it.
     """
     keyed = docs.withColumn("__fp", F.xxhash64(_text(text)))
     small = bitmaps.withColumnRenamed("__fp", "__fp2").hint("shuffle_hash")
     joined = keyed.join(small, (F.col(doc_id) == F.col("__doc")) & (F.col("__fp") == F.col("__fp2")), "left")
     lines = F.split(_text(text), "\n")
-    bit = "(shiftrightunsigned(__drop[i div 64], CAST(i % 64 AS INT)) & 1L)"
-    kept = F.expr(f"filter(split(coalesce(`{text}`, ''), '\\n'), (line, i) -> i div 64 >= size(__drop) OR {bit} = 0)")
+    unpacked = F.flatten(F.transform("__drop", lambda x: F.concat(F.array_repeat(F.lit(0).cast("long"), x["skip"]), F.array(x["bits"]))))
+    bit = lambda bits, i: F.call_function("shiftrightunsigned", F.get(bits, F.floor(i / 64).cast("int")), i % 64).bitwiseAND(F.lit(1).cast("long"))
+    kept = let(unpacked, lambda bits: F.filter(lines, lambda line, i: F.coalesce(bit(bits, i) == 0, F.lit(True))))
     return joined.select(
-        *(F.col(c) for c in docs.columns),
+        *(F.col(f"`{c}`") for c in docs.columns),
         F.when(F.col("__drop").isNull(), _text(text)).otherwise(F.array_join(kept, "\n")).alias("__lines"),
         F.size(lines).cast("long").alias("__n_lines"),
         F.coalesce("__n_dropped", F.lit(0)).cast("long").alias("__n_dropped"),
