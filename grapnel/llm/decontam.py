@@ -10,12 +10,13 @@ the document is then compared with the window word by word.  Only verified start
 Documents are taken apart in chunks of :data:`CHUNK` words that carry the few words before and after, so
 the row that goes through the join is small however long the document is.
 
-Broadcasts.  The window table grows with the benchmark, so its rows are counted first.  Beyond
-:data:`BROADCAST_ROWS` it is dealt by hash into parts of that size and the corpus is passed once a part.
+Broadcasts.  Windows, their item entries and their vocabulary grow with the benchmark, so each is counted
+first.  Up to :data:`BROADCAST_ROWS` and :data:`BROADCAST_WORDS` they are broadcast; beyond, they are shuffled
+and meet the rare words of the corpus only.  Either way the corpus is passed twice: for counts and for hits.
 
 Defined results.  A null or empty text has no words; an item without words has no window.  Rows that
 share an id and a text are one document and come back as often as they came in; a null id is an id
-like another.  Items that share an id are one item.
+like another.  Items that share an id are one item; an item with a null id marks words, but is not listed.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from grapnel.scratch import materialize
 
 WINDOW = 10
 BROADCAST_ROWS = 200_000
+BROADCAST_WORDS = 1_000_000
 CHUNK = 256
 
 
@@ -44,19 +46,24 @@ def item_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "te
     )
 
 
-def word_counts(docs: DataFrame, vocabulary: DataFrame, text: str = "text") -> DataFrame:
-    """How many documents of the whole corpus hold each word of the vocabulary (small, broadcast).
+def _small(frame: DataFrame, rows: int, most: int) -> DataFrame:
+    """The frame, marked for broadcast if it has few enough rows; else the engine shuffles it."""
+    return F.broadcast(frame) if rows <= most else frame
+
+
+def word_counts(docs: DataFrame, vocabulary: DataFrame, text: str = "text", most: int = BROADCAST_WORDS) -> DataFrame:
+    """How many documents of the whole corpus hold each word of the vocabulary.
 
     A document's words are made distinct before they leave it; what is shuffled is a row a word and task.
     """
     held = docs.select(F.explode_outer(F.array_distinct(words(text))).alias("__token"))
-    return held.join(F.broadcast(vocabulary), "__token", "left_semi").groupBy("__token").agg(F.count("*").alias("__df"))
+    return held.join(_small(vocabulary, vocabulary.count(), most), "__token", "left_semi").groupBy("__token").agg(F.count("*").alias("__df"))
 
 
-def prefix_tokens(windows: DataFrame, counts: DataFrame) -> DataFrame:
+def prefix_tokens(windows: DataFrame, counts: DataFrame, most: int = BROADCAST_WORDS) -> DataFrame:
     """Each window's rarest word and its offset: ``__token, __offset, __window, __items``."""
     placed = windows.select("__window", "__items", F.posexplode("__window").alias("__offset", "__token"))
-    ranked = placed.join(counts, "__token", "left").select("__window", "__items", F.struct(F.coalesce("__df", F.lit(0)).alias("df"), F.col("__token").alias("token"), F.col("__offset").alias("at")).alias("__rank"))
+    ranked = placed.join(_small(counts, counts.count(), most), "__token", "left").select("__window", "__items", F.struct(F.coalesce("__df", F.lit(0)).alias("df"), F.col("__token").alias("token"), F.col("__offset").alias("at")).alias("__rank"))
     least = ranked.groupBy("__window").agg(F.min("__rank").alias("__rank"), F.first("__items").alias("__items"))
     return least.select(F.col("__rank.token").alias("__token"), F.col("__rank.at").alias("__offset"), "__window", "__items")
 
@@ -79,11 +86,14 @@ def _chunks(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     )
 
 
+_TABLE = "array<struct<__offset:int,__window:array<string>,__items:array<string>>>"
+
+
 def _hits(docs: DataFrame, tokens: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     """Rows ``__doc, __fp, __first, __n, __hit``: one marker for each document row, and one for each
-    verified window (start, end, items)."""
+    verified window (start, end, items).  The window table is broadcast."""
     table = tokens.groupBy("__token").agg(F.collect_list(F.struct("__offset", "__window", "__items")).alias("__at"))
-    marker = docs.sparkSession.range(1).select(F.lit("").alias("__token"), F.expr("CAST(NULL AS array<struct<__offset:int,__window:array<string>,__items:array<string>>>)").alias("__at"))
+    marker = docs.sparkSession.range(1).select(F.lit("").alias("__token"), F.expr(f"CAST(NULL AS {_TABLE})").alias("__at"))
     at = _chunks(docs, doc_id, text, width).select("__doc", "__fp", "__from", "__lead", "__n", "__w", F.posexplode_outer("__core").alias("__pos", "__token"))
     told = at.join(F.broadcast(table.unionByName(marker)), "__token").where((F.col("__pos") > 0) | (F.col("__from") == 0))
     # the token's place in __w is lead + pos - 1 from 0, and in the document from + pos - 1
@@ -96,18 +106,39 @@ def _hits(docs: DataFrame, tokens: DataFrame, doc_id: str, text: str, width: int
     return told.select("__doc", "__fp", (F.col("__pos") == 0).alias("__first"), "__n", F.explode_outer(hits).alias("__hit")).where(F.col("__first") | F.col("__hit").isNotNull())
 
 
-def contaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def _hits_shuffled(docs: DataFrame, tokens: DataFrame, doc_id: str, text: str, width: int, most: int) -> DataFrame:
+    """The rows of :func:`_hits` for a window table that is too large to broadcast.
+
+    The corpus is still passed once.  Only words that are some window's rarest go on, each with the words
+    that a window over it could reach, and meet the windows by a shuffle; markers get keys of their own.
+    """
+    rare = tokens.select("__token").distinct()
+    at = _chunks(docs, doc_id, text, width).select("__doc", "__fp", "__from", "__lead", "__n", "__w", F.posexplode_outer("__core").alias("__pos", "__token"))
+    known = at.join(_small(rare.withColumn("__rare", F.lit(True)), rare.count(), most), "__token", "left")
+    place = F.col("__lead") + F.col("__pos") - 1
+    first = (F.col("__pos") == 0) & (F.col("__from") == 0)
+    near = known.where(first | ((F.col("__pos") > 0) & F.col("__rare"))).select(
+        "__doc", "__fp", "__n", first.alias("__first"), F.when(first, F.concat(F.lit(" "), F.col("__fp").cast("string"))).otherwise(F.col("__token")).alias("__token"),
+        F.least(place, F.lit(width - 1)).alias("__left"), (F.col("__from") + F.col("__pos") - 1).alias("__at"),
+        F.when(~first, F.slice("__w", F.greatest(place - (width - 1), F.lit(0)) + 1, 2 * width - 1)).alias("__around"),
+    )
+    start, size = F.col("__left") - F.col("__offset"), F.size("__window")
+    same = (start >= 0) & (start + size <= F.size("__around")) & (F.slice("__around", F.greatest(start, F.lit(0)) + 1, F.greatest(size, F.lit(0))) == F.col("__window"))
+    met = near.join(tokens, "__token", "left").where(F.col("__first") | same)
+    hit = F.when(~F.col("__first"), F.struct((F.col("__at") - F.col("__offset")).alias("s"), (F.col("__at") - F.col("__offset") + size).alias("e"), F.col("__items").alias("i")))
+    return met.select("__doc", "__fp", "__first", "__n", hit.alias("__hit"))
+
+
+def contaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """A row for each document: the id, ``n_words``, ``n_hit``, ``items`` (sorted array), ``contaminated``."""
     windows = materialize(item_windows(benchmark, item_id, item_text, width), "windows")
-    parts = max(1, -(-windows.count() // broadcast_rows))
-    found = None
-    for part in range(parts):
-        own = windows if parts == 1 else windows.where(F.pmod(F.xxhash64("__window"), F.lit(parts)) == part)
-        vocabulary = own.select(F.explode("__window").alias("__token")).distinct()  # width x broadcast_rows short words at most
-        tokens = materialize(prefix_tokens(own, word_counts(docs, vocabulary, text)), "prefix-tokens")
-        one = _hits(docs, tokens, doc_id, text, width)
-        one = one if part == 0 else one.withColumn("__first", F.lit(False)).where(F.col("__hit").isNotNull())
-        found = one if found is None else found.unionByName(one)
+    vocabulary = materialize(windows.select(F.explode("__window").alias("__token")).distinct(), "vocabulary")
+    counts = materialize(word_counts(docs, vocabulary, text, broadcast_words), "word-counts")
+    tokens = materialize(prefix_tokens(windows, counts, broadcast_words), "prefix-tokens")
+    # an item that many windows share is a longer list, so list entries count too
+    size = windows.agg(F.count("*"), F.coalesce(F.sum(F.size("__items")), F.lit(0))).first()
+    small = max(size) <= broadcast_rows
+    found = _hits(docs, tokens, doc_id, text, width) if small else _hits_shuffled(docs, tokens, doc_id, text, width, broadcast_words)
     grouped = found.groupBy("__doc", "__fp").agg(
         F.max("__n").alias("__n"), F.count_if(F.col("__first")).alias("__rows"),
         F.collect_set(F.when(F.col("__hit").isNotNull(), F.struct("__hit.s", "__hit.e"))).alias("__runs"),
