@@ -39,10 +39,12 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 b AS ({_spans(0, '''(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)''', 'length(value) >= 12')}
   UNION ALL {_spans(1, 'AKIA[A-Z0-9]{14,}')} UNION ALL {_spans(2, '[0-9a-f]{16,}')}),
 c AS ({_spans(3, '[A-Za-z0-9+/_=-]{20,}')}),
-e AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = c.doc_id AND b.s < c.s + length(c.v) AND c.s < b.s + length(b.v))
-  AND NOT regexp_matches(v, '(?i)example|placeholder|your[_-]?(api)?[_-]?key|x{{6,}}|abcdefgh|0123456789|qwerty') AND NOT regexp_matches(v, '^[A-Za-z]+$|^[0-9]+$|^[_=+/-]+') AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')
-  AND list_max(list_transform(range(1, length(v) - 18), lambda i: log2(20) - list_sum(list_transform(list_distinct(string_split(substr(v, i, 20), '')), lambda ch: (20 - length(replace(substr(v, i, 20), ch, ''))) * log2(20 - length(replace(substr(v, i, 20), ch, ''))))) / 20))
-    >= CASE WHEN regexp_matches(v, '^(?:[0-9a-f]+|[0-9A-F]+)$') THEN 3.0 ELSE 3.6 END),
+f AS (SELECT *, CASE WHEN hex THEN bare ELSE rest END AS x FROM (SELECT *, regexp_matches(bare, '^(?:[0-9a-f]+|[0-9A-F]+)$') AND length(bare) >= 20 AS hex
+  FROM (SELECT *, regexp_replace(v, '^=+', '') AS rest, regexp_replace(v, '^[_=+/-]+', '') AS bare FROM c))),
+e AS (SELECT doc_id, k, v, s FROM f WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = f.doc_id AND b.s < f.s + length(f.v) AND f.s < b.s + length(b.v)) AND length(x) >= 20
+  AND NOT regexp_matches(x, '(?i)example|placeholder|your[_-]?(api)?[_-]?key|x{{6,}}|abcdefgh|0123456789|qwerty') AND NOT regexp_matches(x, '^[A-Za-z]+$|^[0-9]+$|^[_=+/-]+$') AND regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Za-z]')
+  AND list_max(list_transform(range(1, length(x) - 18), lambda i: log2(20) - list_sum(list_transform(list_distinct(string_split(substr(x, i, 20), '')), lambda ch: (20 - length(replace(substr(x, i, 20), ch, ''))) * log2(20 - length(replace(substr(x, i, 20), ch, ''))))) / 20))
+    >= CASE WHEN hex THEN 3.0 ELSE 3.6 END),
 a AS (SELECT doc_id, k, s, ['assign', 'access', 'hex', 'entropy'][k + 1] || ':' || s || ':' || (s + length(v)) AS x FROM (SELECT * FROM b UNION ALL SELECT * FROM e))
 SELECT doc_id, count(k) FILTER (k = 0) AS n_assign, count(k) FILTER (k = 1) AS n_access, count(k) FILTER (k = 2) AS n_hex,
   sha256(coalesce(string_agg(x, ',' ORDER BY s, k) FILTER (k < 3), '')) AS base_sha256, coalesce(string_agg(x, ',' ORDER BY s, k), '') AS spans FROM d LEFT JOIN a USING (doc_id) GROUP BY doc_id"""
@@ -65,4 +67,10 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum({_ESC.format('text')} + CASE WHEN before IS DISTINCT FROM role THEN 7 + {_ESC.format('role')} + 8 ELSE 5 END)::BIGINT AS formatted_chars FROM o GROUP BY conv_id"""
 
-SQL: dict[str, str] = {"op1_line_dedup": OP1, "op2_quality_rules": OP2, "op6_secret_scans": OP6, "op7_decontamination": OP7, "op9_chat_formatting": OP9}
+_POLICIES = {("base", 1): {"few_words": 1, "repeated_windows": 2}, ("default", 2): {"few_words": 1, "repeated_windows": 2, "odd_word_length": 8, "symbols": 16, "repeated_lines": 32}}
+ABLATIONS = f"WITH book AS ({OP2}) " + " UNION ALL ".join(
+    f"SELECT '{policy}' AS policy, {version} AS version, '{rule}' AS rule, count(*) AS n_docs, count(*) FILTER (fail_bits & {sum(rules.values())} = 0) AS n_kept, count(*) FILTER (fail_bits & {bit} <> 0) AS n_failed, count(*) FILTER (fail_bits & {sum(rules.values())} = {bit}) AS n_only_this FROM book"
+    for (policy, version), rules in _POLICIES.items() for rule, bit in rules.items()
+)
+
+SQL: dict[str, str] = {"quality_ablations": ABLATIONS, "op1_line_dedup": OP1, "op2_quality_rules": OP2, "op6_secret_scans": OP6, "op7_decontamination": OP7, "op9_chat_formatting": OP9}

@@ -33,9 +33,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy costs, from the ledger's bits alone."""
+    return quality.ablations(quality.ledger(_documents(spark, sf_dir)))
+
+
 def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = licenses.scan_licenses(_documents(spark, sf_dir))
-    return done.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    return done.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", licenses.digest("spans").alias("spans"))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +86,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_quality_rules, op3_license_scans, op4_sharding, op5_packing, op6_secret_scans, op7_decontamination, op8_token_counts, op9_chat_formatting, op10_simhash)
+    for f in (op1_line_dedup, op2_quality_rules, op3_license_scans, op4_sharding, op5_packing, op6_secret_scans, op7_decontamination, op8_token_counts, op9_chat_formatting, op10_simhash, quality_ablations)
 }
 ORACLES: dict[str, str] = {k: v for k, v in SQL.items() if k in QUERIES}
