@@ -1,7 +1,8 @@
 """A corpus pipeline over ``documents``: each stage reads what the one before it wrote.
 
 Stages get ``(spark, docs, sf_dir)`` and return a DataFrame; all but the last return the columns of
-``documents``.  Rejected documents go; texts that lose lines get their ``n_chars`` anew.
+``documents``.  Rejected documents go; texts that lose lines get their ``n_chars`` anew.  Further columns
+than those of ``documents`` are left behind by the first stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,10 +16,13 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows are judged one by one: repeats and null ids change nothing; null and empty texts have no words and go."""
     return quality.ledger(docs.select(*COLUMNS)).where(quality.passes(quality.DEFAULT)).select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """No row goes.  Rows with a null id neither own nor lose lines, rows that share an id count as one document;
+    a null text becomes its one empty line."""
     done = line_dedup.dedup_lines(docs.select(*COLUMNS))
     return done.withColumn("text", F.col("__lines")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
@@ -50,6 +54,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row is a document: a null text is its end mark alone, repeats and null ids are packed like others."""
     return packing.pack_documents(docs)
 
 
