@@ -20,6 +20,7 @@ TOC_BARE = rf"^(第[ \t]*[{NUMERAL}]+[ \t]*[章节][ \t]*.+?)[.…·•]?[ \t]*$
 CHAPTER = rf"第[ \t]*[{NUMERAL}]+[ \t]*章"
 SECTION = rf"第[ \t]*[{NUMERAL}]+[ \t]*节"
 DATE_WORDS = "年|月|日|世纪|年代|万年|亿年"
+NEVER_STRIP = r"年|月|日|世纪|年代|万年|亿年|章|节|篇|部|条|款|项|\.[0-9]|%|％|°|℃|℉"
 SENTENCE_END = r"[。！？.!?」】)）]$"
 FRONT_TITLES = (
     "目录", "目 录", "目次", "Contents", "Table of Contents", "前言", "序言", "序", "Foreword", "Preface", "编写说明", "编辑说明", "凡例", "使用说明", "后记", "跋", "结语", "後記",
@@ -29,9 +30,29 @@ CONTEXT_TITLES = (
     "问题探讨", "讨论", "本节聚焦", "思考与讨论", "探究·实践", "探究与实践", "实验", "实践活动", "练习与应用", "练习", "复习与提高", "复习题", "自我检测", "本章小结", "内容提要", "本节要点",
     "材料用具", "方法步骤", "结果和结论", "目的要求", "实验原理", "实验步骤", "实验结果", "讨论与思考", "相关信息", "与社会的联系", "学科交叉", "科学方法",
 )
+PSEUDO_TITLES = (
+    "问题探讨", "讨论", "本节聚焦", "相关信息", "材料用具", "方法步骤", "练习与应用", "思考与讨论", "探究与实践", "知识链接", "拓展视野", "与社会的联系", "学科交叉", "科学方法", "实验",
+    "本节要点", "内容提要", "本章小结", "自我检测", "复习题",
+)
 DECORATIVE_TITLES = ("科学家访谈", "科学·技术·社会", "科学•技术•社会", "与生物学有关的职业", "生物科技进展", "知识链接", "拓展视野", "课外阅读", "课外实践", "STS", "STSE", "袁隆平", "育种工作者", "遗传咨询师")
 FRONT_HINTS = ("preface", "foreword", "acknowledgment", "appendix", "前言", "序", "后记", "附录", "致谢", "目录", "contents")
 CONTEXT_HINTS = ("discussion", "example", "note", "exercise", "activity", "讨论", "案例", "练习", "注意", "提示", "说明", "问题")
+LEADING_PAGES = (r"^[pP][ \t]*[0-9]{1,4}[ \t]*", r"^第?[0-9]{1,4}[页頁][ \t]*", r"^[0-9]{1,4}[ \t]*/[ \t]*[0-9]{1,4}[ \t]*", rf"^[0-9]{{1,4}}[ \t]+(?!{DATE_WORDS})")
+GOOD_FIRST = "^[一-鿿぀-ゟ゠-ヿa-zA-Z0-9\"'“‘（(《〈【\\[]"
+BAD_FIRST = "，。！？、；：」』）】》"
+NUMBERED_ITEM = r"^[一二三四五六七八九十]+[、，．.][ \t]*.+"
+CHAPTER_START = rf"^(第[ \t]*[{NUMERAL}]+[ \t]*[章节篇部]|Chapter[ \t]+[0-9]+|Part[ \t]+[0-9]+)"
+DOTTED_END = r"[.…·•]{2,}[ \t]*[0-9]{1,4}[ \t]*$"
+NUMBERED_END = rf"第[ \t]*[{NUMERAL}]+[ \t]*[章节].+[0-9]{{1,4}}[ \t]*$"
+PAGE_LABEL = r"^第?[0-9]{1,4}[页頁]?[ \t]*$"
+PAGE_RANGE = r"^[0-9]{1,4}[ \t]*[-–—][ \t]*[0-9]{1,4}[ \t]*$"
+LEADERS_END = r"[.…·•]{3,}[ \t]*[0-9]{1,4}[ \t]*$"
+NUMBERING = rf"(?i)^(第[ \t]*[{NUMERAL}]+[ \t]*[章节篇部]|Chapter[ \t]+[0-9]+|Part[ \t]+[0-9]+|Section[ \t]+[0-9]+|[IVX]+\.[ \t]+|[0-9]+\.[0-9]+[ \t]+|[A-G]\.[ \t]+)"
+BULLET = r"^([0-9①②③④⑤⑥⑦⑧⑨⑩]+[.、．)]|[(（][0-9]+[)）]|[•·●○])"
+TITLE_RULES = (
+    (r"[.…·•]{2,}.*$", ""), (r"[ \t]*[.…·•]+[ \t]*[0-9]{1,4}[ \t]*$", ""), (r"[ \t\r\n]+", " "), (r"^ +| +$", ""), (r"[.…·• ]+$", ""),
+    (rf"第[ \t]+([{NUMERAL}]+)[ \t]*([章节篇部])", "第$1$2"), (rf"(第[{NUMERAL}]+[章节篇部])([^ \t，,.．。；;：:])", "$1 $2"),
+)
 SPECIAL_BLOCKS = (
     (("前言", "序言", "序", "Foreword", "Preface", "编者序", "作者序", "译者序", "推荐序", "代序"), "前言"),
     (("目录", "目次", "Contents", "Table of Contents"), "目录"),
@@ -77,10 +98,7 @@ def is_poor_page(text: Column) -> Column:
 def clean_title(title: Column) -> Column:
     """Leaders and page numbers at the end go, blanks collapse, numbering is spaced one way."""
     t = F.replace(title, F.lit("　"), F.lit(" "))
-    for pattern, to in (
-        (r"[.…·•]{2,}.*$", ""), (r"[ \t]*[.…·•]+[ \t]*[0-9]{1,4}[ \t]*$", ""), (r"[ \t\r\n]+", " "), (r"^ +| +$", ""), (r"[.…·• ]+$", ""),
-        (rf"第[ \t]+([{NUMERAL}]+)[ \t]*([章节篇部])", "第$1$2"), (rf"(第[{NUMERAL}]+[章节篇部])([^ \t，,.．。；;：:])", "$1 $2"),
-    ):
+    for pattern, to in TITLE_RULES:
         t = F.regexp_replace(t, pattern, to)
     return t
 
@@ -105,7 +123,7 @@ def parse_toc_line(line: Column) -> Column:
 def strip_page_number(text: Column) -> Column:
     """Leading page numbers go; numbers before words of date or count stay."""
     t = trimmed(text)
-    for p in (r"^[pP][ \t]*[0-9]{1,4}[ \t]*", r"^第?[0-9]{1,4}[页頁][ \t]*", r"^[0-9]{1,4}[ \t]*/[ \t]*[0-9]{1,4}[ \t]*", rf"^[0-9]{{1,4}}[ \t]+(?!{DATE_WORDS})"):
+    for p in LEADING_PAGES:
         t = F.regexp_replace(t, p, "")
     return trimmed(t)
 
@@ -130,25 +148,24 @@ def special_block(text: Column, heading: Column) -> Column:
 
 def quality_concerns(text: Column) -> Column:
     """Array of concerns about a block."""
-    good = "^[一-鿿぀-ゟ゠-ヿa-zA-Z0-9\"'“‘（(《〈【\\[]"
     first = F.substring(text, 1, 1)
     return F.array_compact(F.array(
-        F.when(F.length(text) < 50, "too_short"), F.when((text != "") & ~text.rlike(good), "suspicious_first_char"),
-        F.when((first != "") & F.contains(F.lit("，。！？、；：」』）】》"), first), "starts_with_punctuation"),
+        F.when(F.length(text) < 50, "too_short"), F.when((text != "") & ~text.rlike(GOOD_FIRST), "suspicious_first_char"),
+        F.when((first != "") & F.contains(F.lit(BAD_FIRST), first), "starts_with_punctuation"),
     ))
 
 
 def heading_role(text: Column, level: Column, in_toc: Column) -> Column:
     """One of six roles, by the first rule that applies."""
     t = trimmed(text)
-    numbered = t.rlike(r"^[一二三四五六七八九十]+[、，．.][ \t]*.+")
-    chapter = t.rlike(rf"^(第[ \t]*[{NUMERAL}]+[ \t]*[章节篇部]|Chapter[ \t]+[0-9]+|Part[ \t]+[0-9]+)")
-    toc_line = t.rlike(r"[.…·•]{2,}[ \t]*[0-9]{1,4}[ \t]*$") | t.rlike(rf"第[ \t]*[{NUMERAL}]+[ \t]*[章节].+[0-9]{{1,4}}[ \t]*$")
+    numbered = t.rlike(NUMBERED_ITEM)
+    chapter = t.rlike(CHAPTER_START)
+    toc_line = t.rlike(DOTTED_END) | t.rlike(NUMBERED_END)
     letters = F.length(F.regexp_replace(t, "[^\\p{L}]", ""))
     named = t.isin(*CONTEXT_TITLES) | t.isin(*DECORATIVE_TITLES) | numbered
     return (
         F.when(t == "", "noise").when(t.isin(*FRONT_TITLES), "front_matter")
-        .when((F.length(t) < 2) | t.rlike(r"^第?[0-9]{1,4}[页頁]?[ \t]*$") | (letters / F.length(t) < 0.3), "noise")
+        .when((F.length(t) < 2) | t.rlike(PAGE_LABEL) | (letters / F.length(t) < 0.3), "noise")
         .when(in_toc & (chapter | toc_line), "toc_entry").when(chapter, "structural_heading")
         .when((level <= 2) & (F.length(t) > 5) & ~named, "structural_heading")
         .when(t.isin(*CONTEXT_TITLES) | numbered, "context_heading").when(t.isin(*DECORATIVE_TITLES), "decorative").otherwise("structural_heading")
@@ -161,12 +178,12 @@ def block_role(text: Column, order_index: Column, total: Column, level: Column)
     low = F.lower(t)
     hint = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
     density = F.length(F.regexp_replace(t, "[^一-鿿a-zA-Z0-9]", "")) / F.greatest(F.length(t), F.lit(1))
-    noise = (F.length(t) < 3) | t.rlike(r"^[0-9]{1,4}[ \t]*$") | t.rlike(r"^[0-9]{1,4}[ \t]*[-–—][ \t]*[0-9]{1,4}[ \t]*$") | (density < 0.2)
+    noise = (F.length(t) < 3) | t.rlike(r"^[0-9]{1,4}[ \t]*$") | t.rlike(PAGE_RANGE) | (density < 0.2)
     place = order_index / F.greatest(total, F.lit(1))
     edge = (place < 0.05) | (place > 0.95)
-    dots = t.rlike(r"[.…·•]{3,}[ \t]*[0-9]{1,4}[ \t]*$")
-    number = t.rlike(rf"(?i)^(第[ \t]*[{NUMERAL}]+[ \t]*[章节篇部]|Chapter[ \t]+[0-9]+|Part[ \t]+[0-9]+|Section[ \t]+[0-9]+|[IVX]+\.[ \t]+|[0-9]+\.[0-9]+[ \t]+|[A-G]\.[ \t]+)")
-    bullet = t.rlike(r"^([0-9①②③④⑤⑥⑦⑧⑨⑩]+[.、．)]|[(（][0-9]+[)）]|[•·●○])")
+    dots = t.rlike(LEADERS_END)
+    number = t.rlike(NUMBERING)
+    bullet = t.rlike(BULLET)
     return (
         F.when(t == "", "noise").when((level == 0) & noise, "noise").when(edge & (dots | hint(FRONT_HINTS)), "front")
         .when((level >= 1) | number, F.when((level >= 2) & hint(CONTEXT_HINTS), "context").when(level <= 3, "structural").otherwise("context"))
@@ -174,20 +191,6 @@ def block_role(text: Column, order_index: Column, total: Column, level: Column)
     )
 
 
-def augmented_title(title: Column, keyword: Column, role: Column) -> Column:
-    """Context titles get their keyword after a bar; others stay."""
-    return F.when((role == "context") & (keyword != ""), F.concat(title, F.lit("｜"), keyword)).otherwise(title)
-
-
-def keywords(text: Column, most: int = 3) -> Column:
-    """Up to three phrases of the first five sentences, 6 to 18 characters, the longest first, each once."""
-    sentences = F.slice(F.filter(F.split(text, "[。！？!?.\n]"), lambda s: s != ""), 1, 5)
-    phrases = F.flatten(F.transform(sentences, lambda s: F.transform(F.split(s, "[，、；：,;:]"), trimmed)))
-    kept = F.array_distinct(F.filter(phrases, lambda p: (F.length(p) >= 6) & (F.length(p) <= 18)))
-    ranked = F.array_sort(F.transform(kept, lambda p, i: F.struct((-F.length(p)).alias("n"), i.alias("i"), p.alias("p"))))
-    return F.slice(F.transform(ranked, lambda x: x["p"]), 1, most)
-
-
 def token_estimate(text: Column) -> Column:
     return F.floor(F.length(text) / 4).cast("int")
 
