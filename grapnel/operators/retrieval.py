@@ -9,6 +9,7 @@ from grapnel.operators.store import text_search
 from grapnel.plans import views
 from grapnel.plans.views import oracle, table
 from grapnel.registry import query
+from grapnel.scratch import materialize
 
 # Words that always ask for a full retrieval.
 TRIGGERS = (
@@ -50,20 +51,28 @@ def mode_of(question: Column, words: dict[str, tuple[str, ...]] | None = None) -
 
 
 def route_concepts(questions: DataFrame, concepts: DataFrame, top_k: int = 5) -> DataFrame:
-    """Concepts whose label or alias stands in the question (blanks and commas aside), best five each.
+    """Concepts whose label or alias stands in the question (blanks and commas aside) or the other way round, best five each.
 
-    A nested-loop match by substring: the question side is what streams, the active concepts are a
-    small dimension (ten a graph) that is broadcast.
+    A name that stands in a text begins with one of the text's grams: equi-joins on grams of at most three
+    characters find the pairs, ``contains`` verifies them.  A question of nothing but blanks stands in every
+    label; only the first five of those count, so no more are joined.
     """
-    q = questions.withColumn("bare", F.regexp_replace("question", "[？?，, ]", ""))
+    q = questions.select("question_id", F.regexp_replace("question", "[？?，, ]", "").alias("bare"))
     c = concepts.where("status = 'active'").select("concept_key", "graph_id", "label", "aliases")
-    inside = F.contains("bare", "label")
-    by_alias = F.exists("aliases", lambda a: F.contains(F.col("bare"), a) | F.contains(a, F.col("bare")))
-    score = F.when(inside, 0.9).when(F.contains("label", "bare"), 0.5).when(by_alias, 0.8)
-    hits = q.join(F.broadcast(c), inside | F.contains("label", "bare") | by_alias).withColumn("relevance", score)
+    names = c.select("concept_key", "graph_id", F.col("label").alias("name"), F.lit(True).alias("is_label")).unionByName(c.select("concept_key", "graph_id", F.explode("aliases").alias("name"), F.lit(False).alias("is_label"))).where("name <> ''")
+    grams = lambda t: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda i: F.array(*(F.substr(t, i, F.lit(k)) for k in (1, 2, 3))))))
+    head = lambda t: F.substring(t, 1, 3)
+    asked = q.where("bare <> ''")
+    inside = asked.withColumn("gram", F.explode(grams(F.col("bare")))).join(names.withColumn("gram", head("name")), "gram").where(F.contains("bare", F.col("name"))).withColumn("score", F.when(F.col("is_label"), 0.9).otherwise(0.8))
+    around = asked.withColumn("gram", head("bare")).join(names.withColumn("gram", F.explode(grams(F.col("name")))), "gram").where(F.contains("name", F.col("bare"))).withColumn("score", F.when(F.col("is_label"), 0.5).otherwise(0.8))
+    # a label's own verdict comes before that of its aliases, whatever their scores
+    pick = ["question_id", "concept_key", "graph_id"]
+    best = inside.select(*pick, "is_label", "score").unionByName(around.select(*pick, "is_label", "score")).groupBy(*pick).agg(F.max(F.struct("is_label", "score"))["score"].alias("relevance"))
+    some = c.groupBy("concept_key").agg(F.min("graph_id").alias("graph_id")).orderBy("concept_key").limit(top_k)
+    blank = q.where("bare = ''").select("question_id").join(F.broadcast(some)).select(*pick, F.lit(0.5).alias("relevance"))  # top_k rows
     first = Window.partitionBy("question_id", "concept_key").orderBy(F.desc("relevance"), "graph_id")
     top = Window.partitionBy("question_id").orderBy(F.desc("relevance"), "concept_key")
-    return hits.withColumn("rn", F.row_number().over(first)).where("rn = 1").withColumn("place", F.row_number().over(top)).where(F.col("place") <= top_k).select("question_id", "concept_key", "graph_id", "relevance", "place")
+    return best.unionByName(blank).withColumn("rn", F.row_number().over(first)).where("rn = 1").withColumn("place", F.row_number().over(top)).where(F.col("place") <= top_k).select("question_id", "concept_key", "graph_id", "relevance", "place")
 
 
 def nearest(vectors: DataFrame, target: list[float], k: int, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
@@ -99,15 +108,6 @@ def context_windows(hits: DataFrame, sections: DataFrame, radius: int, limit: in
     return sections.join(around, ["doc_id", "ord"]).orderBy("doc_id", "ord").limit(limit)
 
 
-def merge_ranked(parts: list[tuple[str, DataFrame]], key: str = "node_id") -> DataFrame:
-    """Candidate lists in priority order, each key once, from the first list that has it."""
-    out = None
-    for i, (name, part) in enumerate(parts):
-        one = part.select(key, F.lit(name).alias("found_by"), F.lit(i).alias("source_rank"))
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy(key).agg(F.min_by("found_by", "source_rank").alias("found_by"), F.min("source_rank").alias("source_rank"))
-
-
 def packet_bucket() -> Column:
     """Where a visited node goes in the packet."""
     claim, low = F.col("node_type") == "claim", F.col("confidence") < LOW_CONFIDENCE
@@ -139,52 +139,10 @@ def render(rows: DataFrame) -> DataFrame:
     return parts.select("bucket", F.concat(F.lit("## "), "bucket", F.lit("\n"), "body").alias("body")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "body"))), lambda x: x["body"]), "\n").alias("packet"))
 
 
-def ask(spark, sf_dir: str, question: str, mode: str | None = None, top_k: int = 20, n_starts: int = 5) -> tuple[traversal.Walk, DataFrame]:
-    """A question end to end: text search, start nodes, walk, packet rows."""
-    plan = traversal.PRESETS[mode or spark.range(1).select(mode_of(F.lit(question))).first()[0]]
-    nodes, edges = traversal.stored_graph(spark, sf_dir)
-    found = text_search(nodes.where("node_type = 'claim'"), question, ["text"], top_k, ["node_id"])
-    starts = [r["node_id"] for r in found.select("node_id").limit(n_starts).collect()]  # a top-k of the question
-    result = traversal.walk(nodes, edges, starts, plan, traversal.stored_bridges(spark, sf_dir) if plan.bridges else None)
-    return result, packet(result, found)
-
-
 # ---- queries ---------------------------------------------------------------------------------------
 
 QUESTION = "tion x Ung"
-_AUDIT = traversal.PRESETS["audit"]
 _FOUND = "SELECT node_id, node_type, confidence, importance, text FROM blocks WHERE node_type = 'claim' AND (contains(lower(text), 'tion') OR contains(lower(text), 'ung')) ORDER BY node_id LIMIT 20"
-_ALL = traversal._union("a", 3, "node_id, node_type, confidence, importance, depth, rn, text")
-_PACKET = f"""SELECT *, CASE WHEN node_type = 'limitation' THEN 'limitation' WHEN node_type = 'claim' AND confidence >= 0.7 AND importance >= 0.8 THEN 'anchor'
-    WHEN node_type IN ('claim', 'evidence') AND confidence < 0.5 THEN 'low_confidence' WHEN node_type = 'claim' THEN 'claim' WHEN node_type = 'evidence' THEN 'evidence' END AS bucket FROM (
-  SELECT node_id, node_type, confidence, importance, CAST(depth AS BIGINT) AS depth, row_number() OVER (ORDER BY depth, rn) AS pop_order, text FROM ({_ALL})
-  UNION ALL SELECT node_id, node_type, confidence, importance, NULL, NULL, text FROM found WHERE node_id NOT IN (SELECT node_id FROM ({_ALL})))"""
-
-
-def _packet_sql(body: str) -> str:
-    ctes = {"found": _FOUND} | traversal.walk_sql(_AUDIT, "SELECT node_id, 0.0::DOUBLE AS priority FROM found ORDER BY node_id LIMIT 5") | {"packet": _PACKET}
-    return oracle(body, **ctes)
-
-
-@query(_packet_sql("SELECT * FROM packet"))
-def packet_flagship(spark, sf):
-    return ask(spark, sf, QUESTION, "audit")[1]
-
-
-@query(_packet_sql("SELECT bucket, count(*) AS n, round(avg(confidence), 6) AS mean_confidence FROM packet WHERE bucket IS NOT NULL GROUP BY bucket"))
-def packet_buckets(spark, sf):
-    return ask(spark, sf, QUESTION, "audit")[1].where("bucket IS NOT NULL").groupBy("bucket").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
-
-
-@query(_packet_sql("SELECT true AS may_assert_claims, true AS must_cite_claims, bool_or(bucket = 'limitation') AS must_mention_limitations, bool_or(bucket = 'low_confidence') AS must_flag_low_confidence, true AS disallow_invention FROM packet"))
-def packet_policy(spark, sf):
-    return generation_policy(ask(spark, sf, QUESTION, "audit")[1])
-
-
-@query(_packet_sql("""SELECT string_agg(body, chr(10) ORDER BY bucket) AS packet FROM (SELECT bucket, '## ' || bucket || chr(10) || string_agg(printf('- [%.2f] ', confidence) || substr(text, 1, 80) || ' (' || node_id || ')', chr(10) ORDER BY node_id) AS body
-  FROM packet WHERE bucket IS NOT NULL GROUP BY bucket)"""))
-def packet_rendered(spark, sf):
-    return render(ask(spark, sf, QUESTION, "audit")[1])
 
 
 _QUESTIONS = "SELECT conv_id * 1000 + turn AS question_id, CASE WHEN turn % 4 = 0 THEN left(text, 3) WHEN turn % 8 = 2 THEN text || '证据' ELSE text END AS question, conv_id % 5 AS anchors, (conv_id % 7) * 0.8::DOUBLE AS conf FROM conversations WHERE role = 'user'"
@@ -220,7 +178,7 @@ def mode_detection(spark, sf):
     SELECT question_id, concept_key, graph_id, CASE WHEN contains(bare, label) THEN 0.9::DOUBLE WHEN contains(label, bare) THEN 0.5::DOUBLE WHEN len(list_filter(aliases, lambda a: contains(bare, a) OR contains(a, bare))) > 0 THEN 0.8::DOUBLE END AS relevance
     FROM qs, concepts WHERE status = 'active') WHERE relevance IS NOT NULL) WHERE rn = 1 QUALIFY place <= 5""", qs=f"SELECT question_id, regexp_replace(question, '[？?，, ]', '', 'g') AS bare FROM ({_QUESTIONS})"))
 def route_questions(spark, sf):
-    return route_concepts(questions(spark, sf), views.concepts(spark, sf))
+    return route_concepts(questions(spark, sf), materialize(views.concepts(spark, sf), "concepts"))
 
 
 @query("""SELECT vec_id, round(distance, 5) AS distance, CAST(label AS BIGINT) AS label FROM (SELECT vec_id, label, list_sum(list_transform(list_zip(embedding, (SELECT embedding FROM embeddings WHERE vec_id = 7)), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) ** 2)) AS distance FROM embeddings ORDER BY distance, vec_id LIMIT 20)""")
@@ -243,12 +201,11 @@ def hash_embeddings(spark, sf):
     return d.select("doc_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
-_HITS = "SELECT * FROM sections WHERE graph_id IN ('src1', 'src2') AND (contains(lower(text), 'tion') OR contains(lower(text), 'ung')) ORDER BY page, section_id LIMIT 15"
+_HITS = "SELECT * FROM sections WHERE contains(lower(text), 'tion') OR contains(lower(text), 'ung') ORDER BY page, section_id LIMIT 15"
 
 
 def _paragraph_hits(spark, sf):
-    s = views.sections(spark, sf).where(F.col("graph_id").isin("src1", "src2"))
-    return text_search(s, QUESTION, ["text"], 15, ["page", "section_id"])
+    return text_search(views.sections(spark, sf), QUESTION, ["text"], 15, ["page", "section_id"])
 
 
 @query(oracle(f"SELECT section_id, page FROM ({_HITS})"))
@@ -274,13 +231,3 @@ def one_hop_expansion(spark, sf):
 def inject_limits(spark, sf):
     found = text_search(views.blocks(spark, sf).where("node_type = 'claim'"), QUESTION, ["text"], 20, ["node_id"])
     return inject_limitations(found, views.edges(spark, sf), views.nodes(spark, sf)).select("node_id", "confidence")
-
-
-@query(oracle(f"""SELECT node_id, min_by(found_by, source_rank) AS found_by, CAST(min(source_rank) AS BIGINT) AS source_rank FROM (
-  SELECT node_id, 'vector' AS found_by, 0 AS source_rank FROM (SELECT node_id FROM blocks WHERE node_type = 'claim' ORDER BY confidence DESC, node_id LIMIT 15)
-  UNION ALL SELECT node_id, 'text', 1 FROM ({_FOUND}) UNION ALL SELECT neighbor, 'expansion', 2 FROM ({_NEAR}) n JOIN ({_FOUND}) f USING (node_id)) GROUP BY node_id"""))
-def hybrid_merge(spark, sf):
-    b = views.blocks(spark, sf).where("node_type = 'claim'")
-    found = text_search(b, QUESTION, ["text"], 20, ["node_id"])
-    near = expand_one_hop(found, views.edges(spark, sf)).select(F.col("neighbor").alias("node_id"))
-    return merge_ranked([("vector", b.orderBy(F.desc("confidence"), "node_id").limit(15)), ("text", found), ("expansion", near)])

@@ -15,13 +15,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from grapnel.operators.linkage import bridge_candidates
-from grapnel.plans import views
 from grapnel.plans.views import oracle
 from grapnel.registry import query
-from grapnel.scratch import materialize
 
 BOTH_WAYS = ("supports", "constrains", "contradicts", "refines", "extends", "supersedes", "derived_from")
 SPAN_GATED = ("claim", "evidence", "limitation")
@@ -174,7 +171,7 @@ def summary(result: Walk) -> DataFrame:
 
 # ---- the same walk in SQL ---------------------------------------------------------------------------
 
-def walk_sql(plan: WalkPlan, starts: str, adj_more: str = "") -> dict[str, str]:
+def walk_sql(plan: WalkPlan, starts: str, nodes: str = "nodes") -> dict[str, str]:
     """CTEs a0..an (accepted) and x0..xn (walked edges) of the unrolled walk; ``starts`` is a query."""
     types = ", ".join(f"'{t}'" for t in plan.pointers)
     both = ", ".join(f"'{t}'" for t in BOTH_WAYS)
@@ -193,7 +190,7 @@ def walk_sql(plan: WalkPlan, starts: str, adj_more: str = "") -> dict[str, str]:
         t_before = " + ".join(f"(SELECT coalesce(sum(tokens), 0) FROM a{k})" for k in range(d)) or "0"
         out[f"a{d}"] = f"""SELECT * FROM (SELECT n.node_id, n.node_type, n.confidence, n.importance, n.text, length(n.text) // 4 AS tokens, {d} AS depth,
             row_number() OVER w AS rn, coalesce(sum(length(n.text) // 4) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent
-          FROM c{d} c JOIN nodes n ON n.node_id = c.node_id WHERE {gate} AND c.node_id NOT IN ({before} ) WINDOW w AS (ORDER BY c.priority, c.node_id))
+          FROM c{d} c JOIN {nodes} n ON n.node_id = c.node_id WHERE {gate} AND c.node_id NOT IN ({before} ) WINDOW w AS (ORDER BY c.priority, c.node_id))
           WHERE rn + {n_before} <= {plan.max_nodes} AND spent + {t_before} < {plan.budget}"""
         if d < plan.max_depth:
             e_before = " + ".join(f"(SELECT count(*) FROM x{k} x WHERE x.type = g.type)" for k in range(d)) or "0"
@@ -216,30 +213,22 @@ def _union(prefix: str, n: int, columns: str) -> str:
 STARTS = "SELECT node_id, 0.0::DOUBLE AS priority FROM (SELECT node_id FROM blocks WHERE node_type = 'claim' AND graph_id = 'src1' AND confidence >= 0.6 ORDER BY node_id LIMIT 5)"
 
 
-def _starts(spark, sf) -> list[str]:
-    rows = views.blocks(spark, sf).where("node_type = 'claim' AND graph_id = 'src1' AND confidence >= 0.6").orderBy("node_id").limit(5)
+def _starts(store) -> list[str]:
+    rows = store.nodes.where("node_type = 'claim' AND graph_id = 'src1' AND confidence >= 0.6").orderBy("node_id").limit(5)
     return [r["node_id"] for r in rows.select("node_id").collect()]
 
 
-def _section_starts(spark, sf) -> list[str]:
-    rows = views.sections(spark, sf).where("graph_id = 'src1'").orderBy("section_id").limit(5)
-    return [r["section_id"] for r in rows.select("section_id").collect()]
-
-
-def stored_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges as written tables: a walk reads them once a level, with its frontier pushed down."""
-    return materialize(views.nodes(spark, sf_dir), "nodes"), materialize(views.edges(spark, sf_dir), "edges")
-
-
-def stored_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bridges between the graphs' concepts as a written table."""
-    found = bridge_candidates(materialize(views.concepts(spark, sf_dir), "concepts"))
-    return materialize(found.select(F.col("graph_id_a").alias("source_graph_id"), F.col("concept_key_a").alias("source_id"), F.col("concept_key_b").alias("target_id"), "bridge_type", "review_status", "confidence", F.lit(BRIDGE_COST).alias("cost")), "bridges")
+def _section_starts(store) -> list[str]:
+    rows = store.nodes.where("node_type = 'section' AND graph_id = 'src1'").orderBy("node_id").limit(5)
+    return [r["node_id"] for r in rows.select("node_id").collect()]
 
 
 def _run(spark, sf, plan: WalkPlan) -> Walk:
-    starts = _section_starts(spark, sf) if plan.mode == "trace" else _starts(spark, sf)
-    return walk(*stored_graph(spark, sf), starts, plan, stored_bridges(spark, sf) if plan.bridges else None)
+    from grapnel.operators import answers  # which builds on walks
+
+    store = answers.open_store(spark, sf)
+    starts = _section_starts(store) if plan.mode == "trace" else _starts(store)
+    return walk(store.nodes, store.edges, starts, plan, store.bridges if plan.bridges else None)
 
 
 def _sql(plan: WalkPlan, body: str) -> str:

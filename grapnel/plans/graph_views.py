@@ -62,7 +62,7 @@ def import_documents(spark, sf_dir: str) -> dict[str, DataFrame]:
     """The import as one lazy plan: cards, sections, outline, roles and groups, edges, quality flags."""
     s = views.sections(spark, sf_dir)
     o = structure.outline(spark, sf_dir)
-    roles = s.select("section_id", "doc_id", "ord", F.when(F.col("is_head"), "structural").otherwise("content").alias("role"))
+    roles = structure.section_roles(s)
     return {"papers": views.papers(spark, sf_dir), "sections": structure.section_counters(s), "outline": structure.outline_parents(o), "placed": structure.asof_outline(s, o), "groups": structure.structure_groups(roles), "edges": views.edges(spark, sf_dir)}
 
 
@@ -95,8 +95,7 @@ def view_mixed_edges(spark, sf):
     return visible_edges(views.edges(spark, sf), ids).select("source_id", "target_id", "relation_type")
 
 
-_PLACED = """SELECT s.section_id, s.doc_id, s.ord, o.title, 'ch-' || substr(sha256(s.doc_id || ':' || coalesce(o.place::VARCHAR, 'none')), 1, 12) AS chapter_id FROM sections s LEFT JOIN ol o ON o.doc_id = s.doc_id AND o.page <= s.page
-  QUALIFY row_number() OVER (PARTITION BY s.section_id ORDER BY o.page DESC, o.place DESC) = 1"""
+_PLACED = f"SELECT *, 'ch-' || substr(sha256(doc_id || ':' || coalesce(place::VARCHAR, 'none')), 1, 12) AS chapter_id FROM ({structure._PLACED})"
 
 
 @query(oracle("SELECT doc_id, chapter_id, coalesce(any_value(title), '(no chapter)') AS title, count(*) AS n_paragraphs FROM placed GROUP BY doc_id, chapter_id", ol=structure._OUTLINE, placed=_PLACED))
@@ -120,7 +119,7 @@ def trace_round_trip(spark, sf):
     return load_trace(saved).select("plan.mode", F.array_join("result.visited", ",").alias("visited"), "result.stop_reason")
 
 
-@query(oracle("""SELECT s.doc_id, count(*) AS n_sections, max(chapter) AS n_chapters, count(*) FILTER (NOT is_head) AS n_grouped FROM sections s GROUP BY s.doc_id"""))
+@query(oracle("""SELECT s.doc_id, count(*) AS n_sections, max(chapter) AS n_chapters, count(*) FILTER (g.role = 'content' AND g.group_id <> 'root') AS n_grouped FROM sections s JOIN groups g USING (section_id) GROUP BY s.doc_id""", roles=structure._ROLES, groups=structure._GROUPS))
 def import_summary(spark, sf):
     made = import_documents(spark, sf)
     per = made["sections"].groupBy("doc_id").agg(F.count("*").alias("n_sections"), F.max("chapter_no").alias("n_chapters"))

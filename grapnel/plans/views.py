@@ -1,7 +1,7 @@
 """The knowledge-graph data model as views over plain document tables.
 
-Every view is a pure plan over the driver tables; ids are derived from document and position, never
-random.  ``SQL`` holds the same views for DuckDB, written independently; :func:`oracle` puts them in
+Every view is a pure plan over the driver tables, or over sections that were written once (``s``); ids are
+derived from document and position, never random.  ``SQL`` holds the same views for DuckDB, written independently; :func:`oracle` puts them in
 front of a query.
 """
 
@@ -30,7 +30,7 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select(
         F.col("doc_id").alias("paper_id"), F.col("source").alias("graph_id"), "lang",
-        F.substring(F.btrim(F.get(F.split("text", "\n"), F.lit(0))), 1, 80).alias("title"),
+        F.btrim(F.get(F.split("text", "\n"), F.lit(0))).alias("title"),
         (F.lit(1990) + F.col("doc_id") % 35).cast("long").alias("year"), F.length("text").cast("long").alias("n_chars"),
     )
 
@@ -51,9 +51,9 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def blocks(spark: SparkSession, sf_dir: str, s: DataFrame | None = None) -> DataFrame:
     """Claims, evidence and limitations: one block a section, its kind by position."""
-    s = sections(spark, sf_dir)
+    s = sections(spark, sf_dir) if s is None else s
     return s.select(
         F.concat(F.lit("n"), "doc_id", F.lit("-"), "ord").alias("node_id"), pick(NODE_TYPES, F.col("ord") % 5).alias("node_type"), "graph_id", "doc_id", "ord", "section_id", "text",
         ((F.col("n_chars") % 60 + 40).cast("double") / 100).alias("confidence"),
@@ -62,18 +62,19 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def nodes(spark: SparkSession, sf_dir: str, s: DataFrame | None = None) -> DataFrame:
     """All nodes a walk can visit: blocks and sections (their text cut to 500 characters)."""
-    s = sections(spark, sf_dir).select(
+    own = (sections(spark, sf_dir) if s is None else s).select(
         F.col("section_id").alias("node_id"), F.lit("section").alias("node_type"), "graph_id", "doc_id", "ord", "section_id",
         F.substring("text", 1, 500).alias("text"), F.lit(1.0).alias("confidence"), F.lit(0.5).alias("importance"), F.lit(True).alias("has_span"),
     )
-    return blocks(spark, sf_dir).unionByName(s)
+    return blocks(spark, sf_dir, s).unionByName(own)
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str, s: DataFrame | None = None) -> DataFrame:
     """Typed, weighted, directed: five shapes over the blocks and sections of a document."""
-    b, s = blocks(spark, sf_dir), sections(spark, sf_dir)
+    s = sections(spark, sf_dir) if s is None else s
+    b = blocks(spark, sf_dir, s)
     before = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     claim = F.when(F.col("node_type") == "claim", F.struct("node_id", F.length("text").alias("n")))
     told = b.withColumn("prior", F.last(claim, ignorenulls=True).over(before))
@@ -94,14 +95,14 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.withColumn("relation_id", F.concat_ws("|", "source_id", "relation_type", "target_id"))
 
 
-def graph_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = sections(spark, sf_dir).select("graph_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0))).alias("word"))
+def graph_words(spark: SparkSession, sf_dir: str, s: DataFrame | None = None) -> DataFrame:
+    words = (sections(spark, sf_dir) if s is None else s).select("graph_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0))).alias("word"))
     return words.groupBy("graph_id", "word").agg(F.count("*").alias("n"))
 
 
-def concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def concepts(spark: SparkSession, sf_dir: str, s: DataFrame | None = None) -> DataFrame:
     """The ten most frequent longer words of each graph, in a small hierarchy."""
-    counted = graph_words(spark, sf_dir)
+    counted = graph_words(spark, sf_dir, s)
     top = Window.partitionBy("graph_id").orderBy(F.desc("n"), "word")
     ranked = counted.withColumn("rank", F.row_number().over(top).cast("long")).where(F.col("rank") <= CONCEPTS_PER_GRAPH)
     like = Window.partitionBy("graph_id", "label").orderBy(F.desc("m"), "other")
@@ -124,10 +125,10 @@ def concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mentions(spark: SparkSession, sf_dir: str, s: DataFrame | None = None) -> DataFrame:
     """Which claim names which concept of its graph."""
-    words = blocks(spark, sf_dir).where("node_type = 'claim'").select("graph_id", "node_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0)))).alias("label"))
-    return words.join(F.broadcast(concepts(spark, sf_dir).select("graph_id", "label", "concept_key")), ["graph_id", "label"]).select("node_id", "concept_key", "graph_id")
+    words = blocks(spark, sf_dir, s).where("node_type = 'claim'").select("graph_id", "node_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0)))).alias("label"))
+    return words.join(concepts(spark, sf_dir, s).select("graph_id", "label", "concept_key"), ["graph_id", "label"]).select("node_id", "concept_key", "graph_id")
 
 
 SQL = {
@@ -174,7 +175,7 @@ SQL = {
       FROM (SELECT graph_id, node_id, unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS word FROM blocks WHERE node_type = 'claim') b
       JOIN concepts c ON b.graph_id = c.graph_id AND b.word = c.label""",
     "papers": """
-      SELECT doc_id AS paper_id, source AS graph_id, lang, substr(trim(string_split(text, chr(10))[1]), 1, 80) AS title, 1990 + doc_id % 35 AS year, length(text) AS n_chars FROM documents""",
+      SELECT doc_id AS paper_id, source AS graph_id, lang, trim(string_split(text, chr(10))[1]) AS title, 1990 + doc_id % 35 AS year, length(text) AS n_chars FROM documents""",
 }
 
 
