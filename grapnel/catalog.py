@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from grapnel.operators import extraction, linkage, relational, repair, retrieval, store, structure, textops, traversal  # noqa: F401
+from grapnel.operators import answers, documents, extraction, linkage, relational, repair, retrieval, store, structure, textops, traversal  # noqa: F401
 from grapnel.plans import graph_views  # noqa: F401
 from grapnel.registry import ORACLES, QUERIES  # noqa: F401
 from grapnel.sources import connectors  # noqa: F401

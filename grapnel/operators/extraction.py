@@ -8,14 +8,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from grapnel.functions import text as tx
+from grapnel.operators.concepts import CLAIM_TYPES
 from grapnel.operators.linkage import clean_terms, slug
 from grapnel.plans import views
 from grapnel.plans.views import oracle
 from grapnel.registry import query
 
-# Allowed enum values; the default stands first.
-CLAIM_TYPES = ("result", "definition", "method", "theory", "hypothesis", "observation", "comparison", "recommendation")
-SEVERITIES = ("medium", "low", "high", "critical")
 MIN_SECTION = 150
 PROMPT_CHARS = 2000
 ANSWER_SCHEMA = "claims array<struct<text:string,type:string,confidence:double,terms:array<string>>>, limitations array<struct<text:string,severity:string>>"
@@ -57,9 +55,10 @@ def parse_answers(answers: DataFrame) -> DataFrame:
     return c.select("section_id", "i", F.col("c.text").alias("text"), tx.coerced(F.coalesce("c.type", F.lit("")), CLAIM_TYPES, CLAIM_TYPES[0]).alias("claim_type"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("c.confidence", F.lit(0.5)))).alias("confidence"), clean_terms(F.coalesce("c.terms", F.array())).alias("terms"))
 
 
-def link_relations(evidence: DataFrame) -> DataFrame:
-    """Evidence with an array of claim ids to ``supports`` edges of 0.8."""
-    return evidence.select("graph_id", F.col("node_id").alias("source_id"), F.explode("claim_ids").alias("target_id"), F.lit("supports").alias("relation_type"), F.lit(0.8).alias("confidence"))
+def link_relations(blocks: DataFrame) -> DataFrame:
+    """Evidence and limitations with an array of claim ids to ``supports`` and ``constrains`` edges of 0.8."""
+    kind = F.when(F.col("node_type") == "evidence", "supports").otherwise("constrains")
+    return blocks.select("graph_id", F.col("node_id").alias("source_id"), F.explode("claim_ids").alias("target_id"), kind.alias("relation_type"), F.lit(0.8).alias("confidence"))
 
 
 def valid_pairs(pairs: DataFrame, counts: DataFrame, types: tuple[str, ...]) -> DataFrame:
@@ -70,12 +69,12 @@ def valid_pairs(pairs: DataFrame, counts: DataFrame, types: tuple[str, ...]) ->
 def normalize_concepts(blocks: DataFrame, concepts: DataFrame) -> DataFrame:
     """Raw terms of blocks to canonical keys by label, then alias; sorted sets; unresolved terms go.
 
-    Both lookups are equi-joins on the term, so a frequent term is split by the engine, not collected.
+    The lookup is an equi-join on the term; the engine broadcasts the names or splits a frequent term.
     """
     flat = blocks.select("graph_id", "node_id", F.explode("terms").alias("term"))
     names = concepts.select("graph_id", F.col("label").alias("term"), "concept_key", F.lit(0).alias("how")).unionByName(concepts.select("graph_id", F.explode("aliases").alias("term"), "concept_key", F.lit(1).alias("how")))
     best = names.groupBy("graph_id", "term").agg(F.min(F.struct("how", "concept_key")).alias("m")).select("graph_id", "term", "m.concept_key")
-    return flat.join(F.broadcast(best), ["graph_id", "term"]).groupBy("graph_id", "node_id").agg(F.array_sort(F.collect_set("concept_key")).alias("concept_keys"))
+    return flat.join(best, ["graph_id", "term"]).groupBy("graph_id", "node_id").agg(F.array_sort(F.collect_set("concept_key")).alias("concept_keys"))
 
 
 def mention_edges(normalized: DataFrame) -> DataFrame:
@@ -86,7 +85,7 @@ def stand_in_model(prompts: list[str]) -> list[str]:
     """A deterministic model: the first sentence is a claim, its first words are the terms."""
     import json
 
-    return ["```json\n" + json.dumps({"claims": [{"text": p.split(".")[0][:60], "type": ("METHOD", "nonsense")[len(p) % 2], "confidence": len(p) % 150 / 100, "terms": ["tag: " + w for w in p.split()[:2]] * 2}]}) + "\n```" for p in prompts]
+    return ["```json\n" + json.dumps({"claims": [{"text": p.split(".")[0][:60], "type": ("EMPIRICAL", "nonsense")[len(p) % 2], "confidence": len(p) % 150 / 100, "terms": ["tag: " + w for w in p.split()[:2]] * 2}]}) + "\n```" for p in prompts]
 
 
 # ---- queries ---------------------------------------------------------------------------------------
@@ -96,7 +95,7 @@ def extraction_eligible(spark, sf):
     return eligible(views.sections(spark, sf), F.col("ord") % 9 == 0).select("section_id", F.length("text").alias("n"))
 
 
-@query(oracle("""SELECT section_id, 0::BIGINT AS i, left(string_split(p, '.')[1], 60) AS text, CASE WHEN length(p) % 2 = 0 THEN 'method' ELSE 'result' END AS claim_type, least(1.0, (length(p) % 150)::DOUBLE / 100)::DOUBLE AS confidence
+@query(oracle("""SELECT section_id, 0::BIGINT AS i, left(string_split(p, '.')[1], 60) AS text, CASE WHEN length(p) % 2 = 0 THEN 'empirical' ELSE 'theoretical' END AS claim_type, least(1.0, (length(p) % 150)::DOUBLE / 100)::DOUBLE AS confidence
  FROM (SELECT section_id, substr(text, 1, 2000) AS p FROM sections WHERE length(text) >= 150) WHERE length(left(string_split(p, '.')[1], 60)) > 0"""))
 def extraction_claims(spark, sf):
     return parse_answers(ask_model(eligible(views.sections(spark, sf)), stand_in_model)).select("section_id", "i", "text", "claim_type", "confidence")
@@ -121,13 +120,13 @@ def mention_links(spark, sf):
     return mention_edges(normalize_concepts(_terms(spark, sf), views.concepts(spark, sf)))
 
 
-@query(oracle("SELECT e.graph_id, e.node_id AS source_id, c.node_id AS target_id, 'supports' AS relation_type, 0.8::DOUBLE AS confidence FROM blocks e JOIN blocks c ON e.doc_id = c.doc_id AND c.node_type = 'claim' AND c.ord BETWEEN e.ord - 3 AND e.ord WHERE e.node_type = 'evidence'"))
+@query(oracle("SELECT e.graph_id, e.node_id AS source_id, c.node_id AS target_id, CASE e.node_type WHEN 'evidence' THEN 'supports' ELSE 'constrains' END AS relation_type, 0.8::DOUBLE AS confidence FROM blocks e JOIN blocks c ON e.doc_id = c.doc_id AND c.node_type = 'claim' AND c.ord BETWEEN e.ord - 3 AND e.ord WHERE e.node_type <> 'claim'"))
 def relation_links(spark, sf):
     b = views.blocks(spark, sf)
-    near = b.where("node_type = 'evidence'").select("graph_id", "doc_id", "node_id", F.explode(F.sequence(F.col("ord") - 3, F.col("ord"))).alias("ord"))
+    near = b.where("node_type <> 'claim'").select("graph_id", "doc_id", "node_id", "node_type", F.explode(F.sequence(F.col("ord") - 3, F.col("ord"))).alias("ord"))
     claims = b.where("node_type = 'claim'").select("doc_id", "ord", F.col("node_id").alias("claim"))
-    evidence = near.join(claims, ["doc_id", "ord"]).groupBy("graph_id", "node_id").agg(F.collect_list("claim").alias("claim_ids"))
-    return link_relations(evidence)
+    linked = near.join(claims, ["doc_id", "ord"]).groupBy("graph_id", "node_id", "node_type").agg(F.collect_list("claim").alias("claim_ids"))
+    return link_relations(linked)
 
 
 @query(oracle("""SELECT p.section_id, a, b, type FROM (SELECT section_id, ord % 5 - 1 AS a, ord % 4 AS b, ['supports', 'contradicts', 'unknown'][ord % 3 + 1] AS type, 1 + ord % 3 AS n FROM sections) p WHERE a >= 0 AND b >= 0 AND a < n AND b < n AND a <> b AND type IN ('supports', 'contradicts')"""))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from grapnel.operators.concepts import register_in_order
 from grapnel.plans import views
 from grapnel.plans.views import oracle
 from grapnel.registry import query
+from grapnel.scratch import materialize
 
 MIN_JACCARD = 0.25
 
@@ -15,19 +17,32 @@ MIN_JACCARD = 0.25
 
 def shingles(text: Column, k: int = 3) -> Column:
     """Distinct lower-case character k-grams, blanks collapsed; a shorter text is its own shingle."""
-    t = F.btrim(F.regexp_replace(F.lower(text), "[ \\t\\r\\n]+", " "))
+    t = flat_title(text)
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (k - 1), F.lit(1))), lambda i: F.substr(t, i, F.lit(k)))
     return F.when(F.length(t) < k, F.array(t)).otherwise(F.array_distinct(grams))
 
 
+def flat_title(text: Column) -> Column:
+    return F.btrim(F.regexp_replace(F.lower(text), "[ \\t\\r\\n]+", " "))
+
+
+def title_classes(titles: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, first): the smallest key whose title is the same, blanks and case aside."""
+    flat = F.sha2(flat_title(F.col(text)), 256).alias("h")
+    first = titles.select(F.col(key).alias("k"), flat).groupBy("h").agg(F.min("k").alias("first"))
+    return titles.select(key, flat).join(first, "h").select(key, "first")
+
+
 def jaccard_pairs(titles: DataFrame, key: str, text: str, least: float = MIN_JACCARD) -> DataFrame:
-    """Pairs of rows with exact shingle Jaccard of ``least`` or more.
+    """Pairs of different titles with exact shingle Jaccard of ``least`` or more, each title by its smallest key.
 
     An equi-join on shingles, prefix-filtered: with shingles ordered by rarity, two sets of Jaccard
     j must share one of the first ``n - ceil(j * n) + 1`` of each.  Only those are joined; the
-    survivors are verified on the whole sets.
+    survivors are verified on the whole sets.  Equal titles are one (:func:`title_classes`), so copies
+    don't multiply.
     """
-    sets = titles.select(F.col(key).alias("id"), shingles(F.col(text)).alias("s")).withColumn("n", F.size("s"))
+    firsts = title_classes(titles, key, text).where(F.col(key) == F.col("first")).select(key)
+    sets = materialize(titles.join(firsts, key, "left_semi").select(F.col(key).alias("id"), shingles(F.col(text)).alias("s")).withColumn("n", F.size("s")), "shingles")
     flat = sets.select("id", "n", F.explode("s").alias("g"))
     rarity = flat.groupBy("g").agg(F.count("*").alias("df"))
     ranked = flat.join(rarity, "g").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("df", "g")))
@@ -50,20 +65,17 @@ def minhash_pairs(titles: DataFrame, key: str, text: str, least: float = MIN_JAC
     return near.where("datasetA.id < datasetB.id").select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), (1 - F.col("distance")).alias("jaccard"))
 
 
-def series_decision(pairs: DataFrame, titles: DataFrame, key: str) -> DataFrame:
-    """Join an existing series (the best earlier title, confidence + 0.2) or begin a new one."""
-    w = Window.partitionBy("b").orderBy(F.desc("jaccard"), "a")
-    best = pairs.withColumn("rn", F.row_number().over(w)).where("rn = 1").select(F.col("b").alias(key), F.col("a").alias("series_of"), F.round(F.least(F.col("jaccard") + 0.2, F.lit(1.0)), 6).alias("confidence"))
-    return titles.select(key).join(best, key, "left").select(key, F.when(F.col("series_of").isNull(), "new").otherwise("join").alias("decision"), "series_of", F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
-
+def series_decision(pairs: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """Join an existing series (the best earlier title, confidence + 0.2) or begin a new one.
 
-def register_decision(new: DataFrame, known: DataFrame) -> DataFrame:
-    """Key collision rejects, a shared alias or a strict policy asks for review, else the concept is taken."""
-    keys = known.select("concept_key", F.lit(True).alias("taken")).distinct()
-    names = known.select(F.explode("aliases").alias("alias")).distinct()
-    shared = new.select("concept_key", F.explode("aliases").alias("alias")).join(names, "alias", "left_semi").select("concept_key", F.lit(True).alias("shares")).distinct()
-    told = new.join(keys, "concept_key", "left").join(shared, "concept_key", "left")
-    return told.withColumn("decision", F.when(F.col("taken"), "reject_duplicate").when(F.col("shares") | (F.col("merge_policy") == "strict"), "needs_review").otherwise("accept"))
+    The best earlier title of a copy is the first with the same title; of a first one it is a first one, as
+    that is the smallest key with this title.
+    """
+    w = Window.partitionBy("b").orderBy(F.desc("jaccard"), "a")
+    best = pairs.withColumn("rn", F.row_number().over(w)).where("rn = 1").select(F.col("b").alias(key), F.col("a").alias("__a"), F.round(F.least(F.col("jaccard") + 0.2, F.lit(1.0)), 6).alias("__c"))
+    copy = F.col(key) != F.col("first")
+    told = classes.join(best, key, "left").withColumn("series_of", F.when(copy, F.col("first")).otherwise(F.col("__a")))
+    return told.select(key, F.when(F.col("series_of").isNull(), "new").otherwise("join").alias("decision"), "series_of", F.when(copy, 1.0).otherwise(F.coalesce("__c", F.lit(1.0))).alias("confidence"))
 
 
 def slug(label: Column, width: int = 25) -> Column:
@@ -113,13 +125,14 @@ def bridge_candidates(concepts: DataFrame) -> DataFrame:
 
 # ---- queries ---------------------------------------------------------------------------------------
 
-_SETS = """SELECT paper_id, CASE WHEN length(t) < 3 THEN [t] ELSE list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) END AS s
-  FROM (SELECT paper_id, trim(regexp_replace(lower(title), '[ \\t\\r\\n]+', ' ', 'g')) AS t FROM papers)"""
-_PAIRS = """SELECT a, b, common, round(common / (na + nb - common), 6) AS jaccard FROM (SELECT x.paper_id AS a, y.paper_id AS b, len(list_intersect(x.s, y.s)) AS common, len(x.s) AS na, len(y.s) AS nb FROM sets x JOIN sets y ON x.paper_id < y.paper_id) WHERE common / (na + nb - common) >= 0.25"""
+_SETS = """SELECT paper_id, first, CASE WHEN length(t) < 3 THEN [t] ELSE list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) END AS s
+  FROM (SELECT paper_id, t, min(paper_id) OVER (PARTITION BY t) AS first FROM (SELECT paper_id, trim(regexp_replace(lower(title), '[ \\t\\r\\n]+', ' ', 'g')) AS t FROM papers))"""
+_PAIRS = """SELECT a, b, common, round(common / (na + nb - common), 6) AS jaccard FROM (SELECT x.paper_id AS a, y.paper_id AS b, len(list_intersect(x.s, y.s)) AS common, len(x.s) AS na, len(y.s) AS nb
+  FROM sets x JOIN sets y ON x.paper_id < y.paper_id AND x.paper_id = x.first AND y.paper_id = y.first) WHERE common / (na + nb - common) >= 0.25"""
 
 
 def _titles(spark, sf):
-    return views.papers(spark, sf)
+    return views.papers(spark, sf).where("title IS NOT NULL")
 
 
 @query(oracle("SELECT paper_id, len(s) AS n FROM sets", sets=_SETS))
@@ -132,11 +145,12 @@ def shingle_jaccard(spark, sf):
     return jaccard_pairs(_titles(spark, sf), "paper_id", "title")
 
 
-@query(oracle("""SELECT p.paper_id, CASE WHEN b.a IS NULL THEN 'new' ELSE 'join' END AS decision, b.a AS series_of, coalesce(round(least(b.jaccard + 0.2, 1.0), 6), 1.0) AS confidence FROM papers p
+@query(oracle("""SELECT p.paper_id, CASE WHEN p.paper_id <> p.first OR b.a IS NOT NULL THEN 'join' ELSE 'new' END AS decision, CASE WHEN p.paper_id <> p.first THEN p.first ELSE b.a END AS series_of,
+  CASE WHEN p.paper_id <> p.first THEN 1.0::DOUBLE ELSE coalesce(round(least(b.jaccard + 0.2, 1.0), 6), 1.0)::DOUBLE END AS confidence FROM sets p
   LEFT JOIN (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY b ORDER BY jaccard DESC, a) = 1) b ON p.paper_id = b.b""", sets=_SETS, pairs=_PAIRS))
 def series_decisions(spark, sf):
     t = _titles(spark, sf)
-    return series_decision(jaccard_pairs(t, "paper_id", "title"), t, "paper_id")
+    return series_decision(jaccard_pairs(t, "paper_id", "title"), title_classes(t, "paper_id", "title"), "paper_id")
 
 
 @query()
@@ -150,13 +164,19 @@ def alias_conflict_pairs(spark, sf):
     return alias_conflicts(views.concepts(spark, sf))
 
 
-@query(oracle("""SELECT n.graph_id, n.concept_key, CASE WHEN n.concept_key IN (SELECT concept_key FROM k) THEN 'reject_duplicate'
-  WHEN list_has_any(n.aliases, (SELECT list(DISTINCT al) FROM (SELECT unnest(aliases) AS al FROM k))) OR n.rank % 4 = 0 THEN 'needs_review' ELSE 'accept' END AS decision
-  FROM concepts n WHERE n.graph_id IN ('src10', 'src11', 'src12')""", k="SELECT * FROM concepts WHERE graph_id IN ('src0', 'src1')"))
+_SEQ = "SELECT graph_id, concept_key, aliases, rank, row_number() OVER (ORDER BY graph_id, rank) AS seq FROM concepts"
+
+
+@query(oracle("""SELECT n.graph_id, n.concept_key, CASE WHEN rn > 1 THEN 'reject_duplicate' WHEN n.rank % 4 = 0 OR EXISTS (SELECT 1 FROM held h WHERE list_contains(n.aliases, h.alias) AND h.seq < n.seq) THEN 'needs_review' ELSE 'accept_candidate' END AS decision
+  FROM firsts n""", firsts=f"SELECT *, row_number() OVER (PARTITION BY concept_key ORDER BY seq) AS rn FROM ({_SEQ})", held="SELECT alias, min(seq) AS seq FROM (SELECT seq, unnest(aliases) AS alias FROM firsts WHERE rn = 1) GROUP BY 1"))
 def register_decisions(spark, sf):
+    """All concepts of all graphs, registered one after the other in one registry."""
     c = views.concepts(spark, sf)
-    new = c.where(F.col("graph_id").isin("src10", "src11", "src12")).withColumn("merge_policy", F.when(F.col("rank") % 4 == 0, "strict").otherwise("open"))
-    return register_decision(new, c.where(F.col("graph_id").isin("src0", "src1"))).select("graph_id", "concept_key", "decision")
+    # graphs times ten rows: the order is data, so it is numbered by (graph, rank) as a sortable key
+    places = c.select("graph_id").distinct().withColumn("g", F.row_number().over(Window.orderBy("graph_id")))
+    new = c.join(places, "graph_id").select((F.col("g") * 1000 + F.col("rank")).alias("seq"), F.lit("*").alias("graph_id"), F.col("graph_id").alias("home"), "concept_key", "aliases", F.when(F.col("rank") % 4 == 0, "strict").otherwise("open").alias("merge_policy"))
+    told = register_in_order(new, new.limit(0))
+    return told.select(F.col("home").alias("graph_id"), "concept_key", "decision")
 
 
 @query(oracle("""SELECT paper_id, CASE WHEN p <> '' THEN substr(p, 1, 25) ELSE 'c_' || substr(md5(title), 1, 8) END AS slug FROM (SELECT paper_id, title, regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS p FROM papers)"""))
@@ -178,4 +198,4 @@ def cleaned_terms(spark, sf):
       len(list_intersect(a.aliases, b.aliases)) AS n, len(list_intersect(list_distinct(string_split(lower(a.label), '')), list_distinct(string_split(lower(b.label), '')))) AS chars
     FROM concepts a JOIN concepts b ON a.graph_id < b.graph_id AND a.status = 'active' AND b.status = 'active') WHERE la = lb OR n > 0 OR (ns AND chars >= 3))"""))
 def bridges(spark, sf):
-    return bridge_candidates(views.concepts(spark, sf))
+    return bridge_candidates(materialize(views.concepts(spark, sf), "concepts"))

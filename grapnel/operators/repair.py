@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from grapnel.functions import text as tx
+from grapnel.operators import mending
 from grapnel.plans import views
 from grapnel.plans.views import oracle
 from grapnel.registry import query
@@ -71,19 +72,31 @@ def all_candidates(s: DataFrame, least: float = MIN_PRIORITY) -> DataFrame:
     return out.where(F.col("priority") >= least)
 
 
+def page_numbers(s: DataFrame) -> DataFrame:
+    """Leading numbers of a document's sections (doc_id, number): how often, their first context, whether they are page numbers.
+
+    Numbers before words of date, count, part or measure never are.
+    """
+    t = tx.trimmed(F.col("text"))
+    found = s.select("doc_id", "ord", t.alias("t"), F.regexp_extract(t, r"^([0-9]{1,4})[ \t]+", 1).alias("number")).where("number <> ''")
+    kept = found.where(~F.col("t").rlike(rf"^[0-9]{{1,4}}[ \t]+({tx.NEVER_STRIP})"))
+    seen = kept.groupBy("doc_id", "number").agg(F.count("*").alias("n"), F.min_by(F.substring("t", 1, 55), "ord").alias("context"))
+    return seen.withColumn("is_page", F.col("context").rlike(tx.LEADING_PAGES[3]))
+
+
+def without_page_numbers(s: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Sections without the leading numbers that are page numbers of their document."""
+    t = tx.trimmed(F.col("text"))
+    n = F.regexp_extract(t, r"^([0-9]{1,4})[ \t]", 1)
+    keyed = s.withColumn("number", n).join(numbers.where("is_page").select("doc_id", "number", F.lit(True).alias("__page")), ["doc_id", "number"], "left")
+    return keyed.withColumn("text", F.when(F.col("__page"), tx.trimmed(F.expr("substring(trim(text), length(number) + 1)"))).otherwise(t)).drop("number", "__page")
+
+
 def policy_action(score: Column, high_impact: Column) -> Column:
     """What a score leads to: auto, grey (a model decides if much depends on it), or skip."""
     return F.when(score >= AUTO, "auto").when(score >= GREY, F.when(high_impact, "judge").otherwise("grey")).otherwise("skip")
 
 
-def apply_merges(s: DataFrame, accepted: DataFrame) -> DataFrame:
-    """Accepted neighbour merges as islands: a block opens where it isn't merged into the one before."""
-    flagged = s.join(accepted.select(F.col("other_id").alias("section_id"), F.lit(1).alias("joined")).distinct(), "section_id", "left")
-    w = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    islands = flagged.withColumn("island", F.sum(F.when(F.col("joined").isNull(), 1).otherwise(0)).over(w))
-    return islands.groupBy("doc_id", "island").agg(F.min_by("section_id", "ord").alias("section_id"), F.count("*").alias("n_parts"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "\n").alias("text"))
-
-
 def log_summary(log: DataFrame) -> DataFrame:
     """Counts by type, class and action in one pass."""
     return log.groupingSets([["repair_type"], ["action"], ["priority_class"], []], "repair_type", "action", "priority_class").agg(F.count("*").alias("n"), F.grouping_id().alias("grouping"))
@@ -99,7 +112,7 @@ def decide(items: DataFrame, decision: Column) -> DataFrame:
 def rollback(items: DataFrame, runs: DataFrame) -> DataFrame:
     """Pending items of a rolled-back run are rejected; resolved ones stay."""
     gone = runs.where("status = 'rolled_back'").select("run_id", F.lit(True).alias("gone"))
-    return items.join(F.broadcast(gone), "run_id", "left").withColumn("decision", F.when(F.col("gone") & (F.col("decision") == "pending"), "reject").otherwise(F.col("decision"))).drop("gone")
+    return items.join(gone, "run_id", "left").withColumn("decision", F.when(F.col("gone") & (F.col("decision") == "pending"), "reject").otherwise(F.col("decision"))).drop("gone")
 
 
 # ---- queries ---------------------------------------------------------------------------------------
@@ -154,10 +167,15 @@ def repair_log_summary(spark, sf):
     return log_summary(_scored(spark, sf)).drop("grouping")
 
 
-@query(oracle(f"""SELECT doc_id, min_by(section_id, ord) AS section_id, count(*) AS n_parts, string_agg(text, chr(10) ORDER BY ord) AS text FROM (SELECT *, sum(CASE WHEN section_id IN (SELECT other_id FROM ({_MERGES}) WHERE priority >= 0.8) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY ord) AS island FROM shaped) GROUP BY doc_id, island""", shaped=_SHAPED))
+_WANTED = f"SELECT *, section_id IN (SELECT other_id FROM ({_MERGES}) WHERE priority >= 0.8) AS wanted FROM shaped"
+_RUNS = f"SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY ord) - 1 AS nth FROM (SELECT *, count(*) FILTER (NOT wanted) OVER (PARTITION BY doc_id ORDER BY ord) AS run FROM ({_WANTED}))"
+
+
+@query(oracle(f"""SELECT doc_id, min_by(section_id, ord) AS section_id, count(*) AS n_parts, CASE WHEN count(*) = 1 THEN any_value(text) ELSE string_agg(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10) || chr(10) ORDER BY ord) END AS text
+  FROM (SELECT *, count(*) FILTER (nth % 2 = 0) OVER (PARTITION BY doc_id ORDER BY ord) AS island FROM ({_RUNS})) GROUP BY doc_id, island""", shaped=_SHAPED))
 def repair_applied(spark, sf):
-    s = shaped(spark, sf)
-    return apply_merges(s, merge_candidates(s).where("priority >= 0.8")).select("doc_id", "section_id", "n_parts", "text")
+    s = shaped(spark, sf).withColumns({"status": F.lit("clean"), "page_end": F.col("page")})
+    return mending.merge_pairs(s, merge_candidates(s).where("priority >= 0.8")).select("doc_id", "section_id", "n_parts", "text")
 
 
 _ITEMS = "SELECT node_id AS item_id, graph_id, confidence, 'run-' || doc_id % 9 AS run_id, CASE WHEN ord % 3 = 0 THEN 'approve' ELSE 'pending' END AS decision, ord FROM blocks WHERE confidence < 0.5"

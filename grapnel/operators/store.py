@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from grapnel.plans import views
 from grapnel.plans.views import oracle
 from grapnel.registry import query
+from grapnel.scratch import materialize
 
 PRIORITY_RANK = ("low", "medium", "high", "critical")
 
@@ -159,10 +160,12 @@ def store_relations_from(spark, sf):
     return by_id(views.edges(spark, sf), "source_id", "n12-1", "n12-2", "s12-1", "s3-4").select("source_id", "target_id", "relation_type")
 
 
-@query(oracle("SELECT c.graph_id, c.concept_key, a.alias FROM concepts c, (SELECT DISTINCT graph_id, unnest(aliases) AS alias FROM concepts) a WHERE c.graph_id = a.graph_id AND list_contains(c.aliases, a.alias)"))
+@query(oracle("SELECT graph_id, concept_key FROM concepts WHERE list_contains(list_transform(aliases, lambda a: lower(a)), (SELECT min(al) FROM (SELECT unnest(aliases) AS al FROM concepts)))"))
 def store_alias_lookup(spark, sf):
-    c = views.concepts(spark, sf)
-    return c.select("graph_id", "concept_key", F.explode("aliases").alias("alias")).distinct()
+    """Who has the first of all aliases, asked for in capitals."""
+    c = materialize(views.concepts(spark, sf), "concepts")
+    alias = c.select(F.explode("aliases").alias("al")).agg(F.min("al")).first()[0]
+    return alias_lookup(c, (alias or "").upper()).select("graph_id", "concept_key")
 
 
 @query(oracle("SELECT graph_id, concept_key, label FROM concepts WHERE namespace = 'method'"))
@@ -196,14 +199,9 @@ def store_concept_hierarchy(spark, sf):
   w AS (SELECT concept_key AS key, 0 AS d FROM concepts WHERE graph_id = 'src1' AND rank = 3 UNION ALL SELECT l.b, d + 1 FROM w JOIN l ON l.a = w.key WHERE d < 2)
   SELECT * FROM w) GROUP BY key"""))
 def store_concept_neighborhood(spark, sf):
-    c = views.concepts(spark, sf).where("graph_id = 'src1'")
-    links = hierarchy(c).where("relation <> 'sibling'").select("concept_key", "other")
-    seen = c.where("rank = 3").select("concept_key", F.lit(0).alias("depth"))
-    step = seen
-    for d in (1, 2):
-        step = step.join(links, "concept_key").select(F.col("other").alias("concept_key")).distinct().join(seen, "concept_key", "left_anti").withColumn("depth", F.lit(d))
-        seen = seen.unionByName(step)
-    return seen
+    c = materialize(views.concepts(spark, sf), "concepts")
+    start = c.where("graph_id = 'src1' AND rank = 3").select("concept_key").first()
+    return neighborhood(c, start[0] if start else "", "src1", 2)
 
 
 @query(oracle("""SELECT 'sections' AS table_name, count(*) AS n FROM sections UNION ALL SELECT 'blocks', count(*) FROM blocks UNION ALL SELECT 'edges', count(*) FROM edges
@@ -216,7 +214,8 @@ def store_counts(spark, sf):
  UNION ALL SELECT 'blocks_without_links', b.graph_id, count(*) FROM blocks b WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.relation_type <> 'belongs_to' AND (e.target_id = b.node_id OR e.source_id = b.node_id)) GROUP BY ALL
  UNION ALL SELECT 'claims_without_concepts', b.graph_id, count(*) FROM blocks b WHERE node_type = 'claim' AND NOT EXISTS (SELECT 1 FROM mentions m WHERE m.node_id = b.node_id) GROUP BY ALL"""))
 def store_orphan_report(spark, sf):
-    b, e, m = views.blocks(spark, sf), views.edges(spark, sf), views.mentions(spark, sf)
+    s = materialize(views.sections(spark, sf), "sections")
+    b, e, m = views.blocks(spark, sf, s), views.edges(spark, sf, s), views.mentions(spark, sf, s)
     claims = b.where("node_type = 'claim'")
     linked = e.where("relation_type <> 'belongs_to'").select(F.explode(F.array("source_id", "target_id")).alias("node_id")).distinct()
     parts = {
@@ -238,8 +237,9 @@ def store_orphan_report(spark, sf):
  WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.confidence < 2 AND e.source_id = w.source_id AND e.target_id = w.target_id AND e.relation_type = w.relation_type AND NOT (e.relation_type = 'section_next' AND e.source_id LIKE '%7-%'))"""))
 def store_missing_edges(spark, sf):
     """Edge completion on a store from which some next-edges were removed."""
-    s, b, m = views.sections(spark, sf), views.blocks(spark, sf), views.mentions(spark, sf)
-    have = views.edges(spark, sf).where(~((F.col("relation_type") == "section_next") & F.col("source_id").like("%7-%")))
+    s = materialize(views.sections(spark, sf), "sections")
+    b, m = views.blocks(spark, sf, s), views.mentions(spark, sf, s)
+    have = views.edges(spark, sf, s).where(~((F.col("relation_type") == "section_next") & F.col("source_id").like("%7-%")))
     wanted = (
         s.where(F.col("next_id").isNotNull()).select(F.col("section_id").alias("source_id"), F.col("next_id").alias("target_id"), F.lit("section_next").alias("relation_type"))
         .unionByName(b.select(F.col("node_id").alias("source_id"), F.col("section_id").alias("target_id"), F.lit("belongs_to").alias("relation_type")))

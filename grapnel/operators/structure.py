@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from grapnel.functions import text as tx
+from grapnel.operators import layout
 from grapnel.plans import views
 from grapnel.plans.views import oracle, table
 from grapnel.registry import query
@@ -15,19 +16,23 @@ from grapnel.registry import query
 def asof_outline(sections: DataFrame, outline: DataFrame) -> DataFrame:
     """Each section's last outline entry at or before its page: one sorted pass over the union of both.
 
-    A same-page entry whose title starts the section's text wins over the page rule.
+    Of the entries on the section's page one whose title stands in its text wins over the page rule.
     """
-    o = outline.select("doc_id", F.col("page").alias("at"), F.lit(0).alias("kind"), F.col("place"), F.struct("title", "level", "place").alias("entry"), F.lit(None).cast("string").alias("section_id"))
+    entry = F.struct("title", "level", "place")
+    o = outline.select("doc_id", F.col("page").alias("at"), F.lit(0).alias("kind"), F.col("place"), entry.alias("entry"), F.lit(None).cast("string").alias("section_id"))
     s = sections.select("doc_id", F.col("page").alias("at"), F.lit(1).alias("kind"), F.col("ord").alias("place"), F.lit(None).cast(o.schema["entry"].dataType).alias("entry"), "section_id")
     w = Window.partitionBy("doc_id").orderBy("at", "kind", "place").rowsBetween(Window.unboundedPreceding, 0)
-    return o.unionByName(s).withColumn("found", F.last("entry", ignorenulls=True).over(w)).where("kind = 1").select("section_id", "doc_id", "found.*")
+    asof = o.unionByName(s).withColumn("found", F.last("entry", ignorenulls=True).over(w)).where("kind = 1").select("section_id", "doc_id", "found")
+    here = outline.select("doc_id", "page", "place", entry.alias("entry"), tx.normalize_title(F.col("title")).alias("normal")).where("normal <> ''")
+    named = sections.join(here, ["doc_id", "page"]).where(F.contains(tx.normalize_title(F.col("text")), F.col("normal"))).groupBy("section_id").agg(F.max_by("entry", here["place"]).alias("named"))
+    return asof.join(named, "section_id", "left").select("section_id", "doc_id", F.coalesce("named", "found").alias("e")).select("section_id", "doc_id", "e.*")
 
 
-def outline_parents(outline: DataFrame) -> DataFrame:
+def outline_parents(outline: DataFrame, levels: int = 6) -> DataFrame:
     """Nearest prior entry of a lower level: the last seen of each lower level, the latest of those."""
     w = Window.partitionBy("doc_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.last(F.when(F.col("level") == k, F.col("place")), ignorenulls=True).over(w) for k in (1, 2, 3)]
-    return outline.withColumn("parent_place", F.when(F.col("level") == 1, F.lit(None)).when(F.col("level") == 2, last[0]).otherwise(F.greatest(last[0], last[1])))
+    last = [F.when(F.col("level") > k, F.last(F.when(F.col("level") == k, F.col("place")), ignorenulls=True).over(w)) for k in range(1, levels)]
+    return outline.withColumn("parent_place", F.greatest(*last))
 
 
 def section_counters(sections: DataFrame) -> DataFrame:
@@ -60,26 +65,6 @@ def alignment(segment: Column, window: Column, start: Column, end: Column) -> Co
     return F.when(F.contains(window, segment), 1.0).when(F.contains(window, start) & F.contains(window, end), 0.92).when(ratio >= 0.82, ratio).otherwise(0.0)
 
 
-def stitch(sections: DataFrame, longest: int = 800, shortest: int = 20) -> DataFrame:
-    """Merge a paragraph into the one before if that doesn't end a sentence and both stay within size.
-
-    A fold with carried state (the grown block is tested again), as an aggregate over each document's
-    sorted array: no Python, one shuffle on the document.
-    """
-    docs = sections.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: F.struct(x["text"].alias("t"), F.lit(1).alias("n"), x["ord"].alias("o"))).alias("parts"))
-    end = lambda t: F.substring(t, -5, 5).rlike(tx.SENTENCE_END)
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        fits = (F.length(last["t"]) >= shortest) & (F.length(x["t"]) >= shortest) & (F.length(last["t"]) + F.length(x["t"]) <= longest) & ~end(last["t"])
-        grown = F.struct(F.concat(last["t"], F.lit("\n"), x["t"]).alias("t"), (last["n"] + 1).alias("n"), last["o"].alias("o"))
-        return F.when((F.size(acc) > 0) & fits, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(x)))
-
-    # the first part is the start value, so the accumulator is never empty
-    folded = F.aggregate(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))), F.slice("parts", 1, 1), step)
-    return docs.select("doc_id", F.posexplode(folded).alias("block", "b")).select("doc_id", "block", F.col("b.o").alias("ord"), F.col("b.n").alias("n_parts"), F.col("b.t").alias("text"))
-
-
 def structure_groups(roles: DataFrame) -> DataFrame:
     """Content goes to the nearest open group: the last context since the last structural block, else that
     structural block.  Two carried values; the context is reset by numbering structural runs."""
@@ -124,36 +109,32 @@ def html_elements(pages: DataFrame) -> DataFrame:
     return found.select("page_id", "order_index", F.when(kind == "h1", "heading").when(kind == "p", "paragraph").otherwise("list_item").alias("type"), F.btrim(F.regexp_replace("raw", "<[^>]*>", "")).alias("text"))
 
 
-def markdown_elements(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """Headings, fenced code and paragraphs: line breaks number the islands, fences flip a running parity."""
-    lines = texts.select(F.col(key), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    is_fence = F.col("line").rlike("^[ ]{0,3}```")
-    lines = lines.withColumn("fences", F.sum(is_fence.cast("int")).over(w)).withColumn("in_code", ((F.col("fences") % 2) == 1) | is_fence)
-    heading = F.col("line").rlike("^#{1,6} +") & ~F.col("in_code")
-    blank = (F.btrim("line") == "") & ~F.col("in_code")
-    lines = lines.withColumn("kind", F.when(blank, "blank").when(F.col("in_code"), "code").when(heading, "heading").otherwise("paragraph"))
-    before = Window.partitionBy(key).orderBy("pos")
-    opens = (F.col("kind") != F.lag("kind").over(before)) | (F.col("kind") == "heading") | F.lag("kind").over(before).isNull()
-    islands = lines.withColumn("opens", opens.cast("int")).withColumn("island", F.sum("opens").over(w)).where("kind <> 'blank'")
-    joined = islands.groupBy(key, "island").agg(F.first("kind").alias("type"), F.min("pos").alias("line_no"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("raw"))
-    level = F.when(F.col("type") == "heading", F.length(F.regexp_extract("raw", "^(#{1,6}) ", 1)))
-    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace("raw", r"!\[[^\]]*\]\([^)]*\)", ""), r"\[([^\]]*)\]\([^)]*\)", "$1"), "^#{1,6} +", "")
-    return joined.select(key, "line_no", "type", level.alias("level"), F.when(F.col("type") == "code", F.col("raw")).otherwise(clean).alias("text"))
-
-
 # ---- queries ---------------------------------------------------------------------------------------
 
-_OUTLINE = "SELECT doc_id, page, ord AS place, CASE WHEN chapter % 2 = 1 THEN 1 ELSE 2 END::BIGINT AS level, substr(text, 1, 30) AS title FROM sections WHERE is_head AND chapter % 4 <> 0"
+_OUTLINE = "SELECT doc_id, page, ord AS place, (1 + length(text) % 5)::BIGINT AS level, substr(text, 1, 30) AS title FROM sections WHERE is_head"
 
 
 def outline(spark, sf) -> DataFrame:
-    s = views.sections(spark, sf).where("is_head AND chapter % 4 <> 0")
-    return s.select("doc_id", "page", F.col("ord").alias("place"), F.when(F.col("chapter") % 2 == 1, 1).otherwise(2).cast("long").alias("level"), F.substring("text", 1, 30).alias("title"))
+    """The first line of every chapter; its level follows from its length, so that all levels occur."""
+    s = views.sections(spark, sf).where("is_head")
+    return s.select("doc_id", "page", F.col("ord").alias("place"), (1 + F.length("text") % 5).cast("long").alias("level"), F.substring("text", 1, 30).alias("title"))
+
+
+def _normal_sql(title: str) -> str:
+    """``tx.normalize_title`` in DuckDB."""
+    t = f"replace({title}, '　', ' ')"
+    for pattern, to in tx.TITLE_RULES:
+        t = f"regexp_replace({t}, '{pattern}', '{to.replace('$', chr(92))}', 'g')"
+    return f"lower(regexp_replace({t}, '[ \\t\\r\\n]+', '', 'g'))"
 
 
-@query(oracle("""SELECT s.section_id, s.doc_id, o.title, o.level, o.place FROM sections s LEFT JOIN ol o ON o.doc_id = s.doc_id AND o.page <= s.page
-  QUALIFY row_number() OVER (PARTITION BY s.section_id ORDER BY o.page DESC, o.place DESC) = 1""", ol=_OUTLINE))
+_PLACED = f"""SELECT s.section_id, s.doc_id, s.ord, coalesce(h.title, a.title) AS title, coalesce(h.level, a.level) AS level, coalesce(h.place, a.place) AS place FROM sections s
+  LEFT JOIN (SELECT s.section_id, o.* FROM sections s JOIN ol o ON o.doc_id = s.doc_id AND o.page <= s.page QUALIFY row_number() OVER (PARTITION BY s.section_id ORDER BY o.page DESC, o.place DESC) = 1) a USING (section_id)
+  LEFT JOIN (SELECT s.section_id, o.* FROM sections s JOIN ol o ON o.doc_id = s.doc_id AND o.page = s.page WHERE {_normal_sql('o.title')} <> '' AND contains({_normal_sql('s.text')}, {_normal_sql('o.title')})
+    QUALIFY row_number() OVER (PARTITION BY s.section_id ORDER BY o.place DESC) = 1) h USING (section_id)"""
+
+
+@query(oracle(f"SELECT section_id, doc_id, title, level, place FROM ({_PLACED})", ol=_OUTLINE))
 def outline_asof(spark, sf):
     return asof_outline(views.sections(spark, sf), outline(spark, sf))
 
@@ -173,36 +154,60 @@ def sliding_windows(spark, sf):
     return page_windows(views.sections(spark, sf).select("doc_id", "page"))
 
 
-_RATIO = "CASE WHEN contains(b, a) THEN 1.0::DOUBLE WHEN contains(b, left(a, 10)) AND contains(b, right(a, 10)) THEN 0.92::DOUBLE WHEN r >= 0.82 THEN r ELSE 0.0::DOUBLE END"
+_RATIO = "CASE WHEN contains(b, a) THEN 1.0::DOUBLE WHEN contains(b, left(t, 10)) AND contains(b, right(t, 10)) THEN 0.92::DOUBLE WHEN r >= 0.82 THEN r ELSE 0.0::DOUBLE END"
 
 
-@query(oracle(f"""SELECT section_id, round({_RATIO}, 6) AS confidence FROM (SELECT section_id, a, b, 2.0::DOUBLE * list_sum(list_transform(list_distinct(string_split(a, '')), lambda ch: least(length(a) - length(replace(a, ch, '')), length(b) - length(replace(b, ch, ''))))) / (length(a) + length(b)) AS r
-  FROM (SELECT section_id, left(text, 40) AS a, CASE ord % 3 WHEN 0 THEN left(text, 90) WHEN 1 THEN left(text, 20) || 'x' || substr(text, 21, 40) ELSE reverse(left(text, 40)) END AS b FROM sections WHERE length(text) >= 40))"""))
+@query(oracle(f"""SELECT section_id, round({_RATIO}, 6) AS confidence FROM (SELECT section_id, t, a, b, 2.0::DOUBLE * list_sum(list_transform(list_distinct(string_split(a, '')), lambda ch: least(length(a) - length(replace(a, ch, '')), length(b) - length(replace(b, ch, ''))))) / (length(a) + length(b)) AS r
+  FROM (SELECT section_id, text AS t, CASE ord % 3 WHEN 0 THEN text WHEN 1 THEN substr(text, 1, 20) || 'x' || substr(text, 21) ELSE reverse(text) END AS a, CASE ord % 3 WHEN 2 THEN text ELSE page_text END AS b
+    FROM (SELECT *, string_agg(text, '|') OVER (PARTITION BY doc_id, page ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS page_text FROM sections)))"""))
 def segment_alignment(spark, sf):
-    s = views.sections(spark, sf).where(F.length("text") >= 40)
-    a = F.left("text", F.lit(40))
-    b = F.when(F.col("ord") % 3 == 0, F.left("text", F.lit(90))).when(F.col("ord") % 3 == 1, F.concat(F.left("text", F.lit(20)), F.lit("x"), F.substring("text", 21, 40))).otherwise(F.reverse(a))
-    return s.select("section_id", a.alias("a"), b.alias("b")).select("section_id", F.round(alignment(F.col("a"), F.col("b"), F.left("a", F.lit(10)), F.right("a", F.lit(10))), 6).alias("confidence"))
+    """Whole sections, a third of them changed and a third reversed, against their pages (the last against themselves)."""
+    s, o = views.sections(spark, sf), F.col("ord")
+    whole = Window.partitionBy("doc_id", "page").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    s = s.withColumn("page_text", F.array_join(F.collect_list("text").over(whole), "|"))
+    a = F.when(o % 3 == 0, F.col("text")).when(o % 3 == 1, F.concat(F.substring("text", 1, 20), F.lit("x"), F.expr("substring(text, 21)"))).otherwise(F.reverse("text"))
+    b = F.when(o % 3 == 2, F.col("text")).otherwise(F.col("page_text"))
+    return s.select("section_id", "text", a.alias("a"), b.alias("b")).select("section_id", F.round(alignment(F.col("a"), F.col("b"), F.left("text", F.lit(10)), F.right("text", F.lit(10))), 6).alias("confidence"))
+
 
+_JOINS = """(acc[-1].p = x[1].p AND x[1].p <> '' AND (length(acc[-1].t) < 50 OR length(x[1].t) < 50) AND length(acc[-1].t) + length(x[1].t) < 2000)"""
+_GOES = f"""(acc[-1].p = '' AND x[1].p = '' AND length(acc[-1].t) >= 20 AND length(x[1].t) >= 20 AND length(acc[-1].t) + length(x[1].t) <= 800 AND NOT regexp_matches(right(acc[-1].t, 5), '{tx.SENTENCE_END}')
+    AND NOT regexp_matches(x[1].t, '{layout.HEADING_START}') AND NOT (length(x[1].t) < 100 AND regexp_matches(x[1].t, '{layout.EXERCISE_START}')))"""
 
-@query(oracle("""SELECT doc_id, i - 1 AS block, f[i].o AS ord, f[i].n AS n_parts, f[i].t AS text FROM (SELECT doc_id, f, unnest(range(1, len(f) + 1)) AS i FROM (
-  SELECT doc_id, list_reduce(list([{'t': text, 'n': 1::BIGINT, 'o': ord}] ORDER BY ord), lambda acc, x: CASE WHEN length(acc[-1].t) >= 20 AND length(x[1].t) >= 20 AND length(acc[-1].t) + length(x[1].t) <= 800 AND NOT regexp_matches(right(acc[-1].t, 5), '[。！？.!?」】)）]$')
-    THEN list_concat(acc[:-2], [{'t': acc[-1].t || chr(10) || x[1].t, 'n': acc[-1].n + 1, 'o': acc[-1].o}]) ELSE list_concat(acc, x) END) AS f FROM cut GROUP BY doc_id))""", cut="SELECT doc_id, ord, CASE WHEN ord % 3 = 0 THEN rtrim(text, '.') ELSE text END AS text FROM sections"))
+
+@query(oracle(f"""SELECT doc_id, f[i].o AS ord, f[i].n AS n_parts, f[i].t AS text FROM (SELECT doc_id, f, unnest(range(1, len(f) + 1)) AS i FROM (
+  SELECT doc_id, list_reduce(list([{{'t': text, 'n': 1::BIGINT, 'o': ord, 'p': path}}] ORDER BY ord), lambda acc, x: CASE WHEN {_JOINS} OR {_GOES}
+    THEN list_concat(acc[:-2], [{{'t': acc[-1].t || CASE WHEN acc[-1].p = '' THEN chr(10) ELSE chr(10) || chr(10) END || x[1].t, 'n': acc[-1].n + 1, 'o': acc[-1].o, 'p': acc[-1].p}}]) ELSE list_concat(acc, x) END) AS f FROM cut GROUP BY doc_id))""",
+  cut="SELECT doc_id, ord, CASE WHEN ord % 3 = 0 THEN rtrim(text, '.') ELSE text END AS text, CASE WHEN chapter % 2 = 1 THEN 'chapter ' || chapter ELSE '' END AS path FROM sections"))
 def stitched_paragraphs(spark, sf):
-    s = views.sections(spark, sf).select("doc_id", "ord", F.when(F.col("ord") % 3 == 0, F.rtrim("text", F.lit("."))).otherwise(F.col("text")).alias("text"))
-    return stitch(s)
+    s = views.sections(spark, sf)
+    path = F.when(F.col("chapter") % 2 == 1, F.array(F.concat(F.lit("chapter "), "chapter"))).otherwise(F.expr("CAST(array() AS array<string>)"))
+    text = F.when(F.col("ord") % 3 == 0, F.rtrim("text", F.lit("."))).otherwise(F.col("text"))
+    return layout.stitched(s.select("doc_id", "ord", path.alias("path"), text.alias("text"))).select("doc_id", "ord", "n_parts", "text")
 
 
-_ROLES = "SELECT section_id, doc_id, ord, CASE WHEN ord % 7 = 2 THEN 'structural' WHEN ord % 7 = 4 THEN 'context' WHEN ord % 11 = 10 THEN 'noise' ELSE 'content' END AS role FROM sections"
+def _either(words: tuple[str, ...]) -> str:
+    return "'" + "|".join(words) + "'"
 
 
-@query(oracle("""SELECT section_id, role, CASE WHEN role = 'noise' THEN 'noise' WHEN role = 'structural' THEN section_id ELSE coalesce(CASE WHEN c.o > coalesce(s.o, 0) THEN c.id END, s.id, 'root') END AS group_id FROM (
+_ROLES = f"""SELECT section_id, doc_id, ord, CASE WHEN NOT is_head AND (length(text) < 3 OR regexp_matches(text, '^[0-9]{{1,4}}[ \\t]*$') OR regexp_matches(text, '{tx.PAGE_RANGE}') OR dense < 0.2) THEN 'noise'
+  WHEN (place < 0.05 OR place > 0.95) AND (regexp_matches(text, '{tx.LEADERS_END}') OR regexp_matches(lower(text), {_either(tx.FRONT_HINTS)})) THEN 'front' WHEN is_head OR regexp_matches(text, '{tx.NUMBERING}') THEN 'structural'
+  WHEN regexp_matches(text, '{tx.BULLET}') OR (length(text) < 40 AND dense < 0.6 AND regexp_matches(lower(text), {_either(tx.CONTEXT_HINTS)})) THEN 'context' ELSE 'content' END AS role
+  FROM (SELECT *, (ord - 1)::DOUBLE / max(ord) OVER (PARTITION BY doc_id) AS place, length(regexp_replace(text, '[^一-鿿a-zA-Z0-9]', '', 'g'))::DOUBLE / length(text) AS dense FROM sections)"""
+_GROUPS = """SELECT section_id, doc_id, role, CASE WHEN role IN ('noise', 'front') THEN role WHEN role = 'structural' THEN section_id ELSE coalesce(CASE WHEN c.o > coalesce(s.o, 0) THEN c.id END, s.id, 'root') END AS group_id FROM (
   SELECT *, last_value(CASE WHEN role = 'context' THEN {'id': section_id, 'o': ord} END IGNORE NULLS) OVER w AS c, last_value(CASE WHEN role = 'structural' THEN {'id': section_id, 'o': ord} END IGNORE NULLS) OVER w AS s
-  FROM roles WINDOW w AS (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""", roles=_ROLES))
+  FROM roles WINDOW w AS (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+
+
+def section_roles(sections: DataFrame) -> DataFrame:
+    """Sections with the role that their text, place and level give them."""
+    total = F.max("ord").over(Window.partitionBy("doc_id"))
+    return sections.withColumn("total", total).withColumn("role", tx.block_role(F.col("text"), F.col("ord") - 1, F.col("total"), F.col("is_head").cast("int"))).drop("total")
+
+
+@query(oracle("SELECT section_id, role, group_id FROM groups", roles=_ROLES, groups=_GROUPS))
 def grouped_sections(spark, sf):
-    o = F.col("ord")
-    role = F.when(o % 7 == 2, "structural").when(o % 7 == 4, "context").when(o % 11 == 10, "noise").otherwise("content")
-    return structure_groups(views.sections(spark, sf).select("section_id", "doc_id", "ord", role.alias("role"))).select("section_id", "role", "group_id")
+    return structure_groups(section_roles(views.sections(spark, sf))).select("section_id", "role", "group_id")
 
 
 @query(oracle("""SELECT q.doc_id, q."offset", min(p.page) AS page FROM (SELECT doc_id, unnest([10, 250, 900]) AS "offset" FROM documents) q JOIN (SELECT doc_id, page, stop, stop - n AS start FROM (SELECT doc_id, page, n, sum(n) OVER (PARTITION BY doc_id ORDER BY page) AS stop FROM (SELECT doc_id, page, sum(length(text) + 1) AS n FROM sections GROUP BY ALL))) p
@@ -241,15 +246,23 @@ def page_elements(spark, sf):
     return html_elements(table(spark, sf, "pages"))
 
 
-_MD = "'# Title ' || doc_id || chr(10) || chr(10) || left(replace(text, chr(10), ' '), 40) || chr(10) || 'more [link](u) ![i](v)' || chr(10) || '```' || chr(10) || '# code' || chr(10) || '```' || chr(10) || '## Second' || chr(10) || 'end'"
+_INLINE = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '!\\[[^\\]]*\\]\\([^)]+\\)', '', 'g'), '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '<[^>]+>', '', 'g'), '[ \\t]+', ' ', 'g')"
+_TRIM = "trim({0}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+_MD_TEXT = "'# Title ' || doc_id || chr(10) || text || chr(10) || 'more [link](u) and ![i](v)' || chr(10) || chr(10) || '## Second' || chr(10) || 'the end of it'"
 
 
-@query("""SELECT doc_id, line_no::BIGINT AS line_no, type, level::BIGINT AS level, text FROM (
- SELECT doc_id, unnest([0, 2, 4, 7, 8]) AS line_no, unnest(['heading', 'paragraph', 'code', 'heading', 'paragraph']) AS type, unnest([1, NULL, NULL, 2, NULL]) AS level,
-  unnest(['Title ' || doc_id, left(replace(text, chr(10), ' '), 40) || chr(10) || 'more link ', '```' || chr(10) || '# code' || chr(10) || '```', 'Second', 'end']) AS text FROM documents)""")
+@query(f"""WITH l AS (SELECT doc_id, unnest(s) AS raw, generate_subscripts(s, 1) AS pos FROM (SELECT doc_id, string_split({_MD_TEXT}, chr(10)) AS s FROM documents)),
+ t AS (SELECT doc_id, pos, {_TRIM.format('raw')} AS line FROM l), f AS (SELECT *, starts_with(line, '```') AS fence, sum(starts_with(line, '```')::INT) OVER (PARTITION BY doc_id ORDER BY pos) % 2 = 1 AS inside FROM t),
+ k AS (SELECT *, CASE WHEN NOT inside AND regexp_matches(line, '^#{{1,6}}[ \\t]+.+$') THEN 'heading' WHEN NOT inside AND line = '' THEN 'blank' ELSE 'paragraph' END AS kind FROM f WHERE NOT fence),
+ i AS (SELECT *, count(*) FILTER (kind <> 'paragraph') OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM k),
+ e AS (SELECT doc_id, pos, length(regexp_extract(line, '^(#{{1,6}})', 1)) AS level, {_TRIM.format(_INLINE.format("regexp_replace(line, '^#{1,6}[ \\t]+', '')"))} AS text, true AS head FROM i WHERE kind = 'heading'
+   UNION ALL SELECT doc_id, min(pos), 0, {_TRIM.format(_INLINE.format("replace(string_agg(line, chr(10) ORDER BY pos), '　', ' ')"))}, false FROM i WHERE kind = 'paragraph' GROUP BY doc_id, island)
+ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS order_index, level, text FROM e
+ WHERE CASE WHEN head THEN text <> '' ELSE length(text) >= 8 AND NOT regexp_matches(text, '^[-*_`~ \\t\\n]+$') AND NOT regexp_matches(text, '^[0-9]{{1,4}}$') END""")
 def markdown_blocks(spark, sf):
-    md = F.concat(F.lit("# Title "), "doc_id", F.lit("\n\n"), F.left(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(40)), F.lit("\nmore [link](u) ![i](v)\n```\n# code\n```\n## Second\nend"))
-    return markdown_elements(table(spark, sf, "documents").select("doc_id", md.alias("md")), "doc_id", "md")
+    """Whole documents read as markdown, with a title before and a part after."""
+    md = F.concat(F.lit("# Title "), "doc_id", F.lit("\n"), "text", F.lit("\nmore [link](u) and ![i](v)\n\n## Second\nthe end of it"))
+    return layout.markdown_document(table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", md.alias("text"))).select("doc_id", "order_index", "level", "text")
 
 
 @query(oracle("""SELECT doc_id, content_hash, min(ord) AS kept FROM (SELECT s.doc_id, s.ord, sha256(lower(replace(s.text, ' ', ''))) AS content_hash FROM sections s JOIN (SELECT doc_id, unnest(range(1, greatest(last - 2, 1) + 1, 2)) AS first, last FROM (SELECT doc_id, max(page) AS last FROM sections GROUP BY 1)) w
@@ -262,13 +275,13 @@ def window_overlap_dedup(spark, sf):
     return seen.groupBy("doc_id", F.sha2(F.lower(F.replace("text", F.lit(" "), F.lit(""))), 256).alias("content_hash")).agg(F.min("ord").alias("kept"))
 
 
-@query(oracle("""SELECT DISTINCT a.section_id AS inner_id FROM sections a JOIN sections b ON a.doc_id = b.doc_id AND b.ord < a.ord AND b.page >= a.page - 1 AND contains(b.text, left(a.text, 20)) AND length(a.text) < length(b.text) * 0.75"""))
+@query(oracle("""SELECT DISTINCT a.section_id AS inner_id FROM sections a JOIN sections b ON a.doc_id = b.doc_id AND b.ord < a.ord AND b.page >= a.page - 1 AND contains(b.text, a.text) AND length(a.text) < length(b.text) * 0.75
+  WHERE length(a.text) >= 40 OR regexp_matches(a.text, '[。！？.!?]')"""))
 def containment_candidates(spark, sf):
-    """Segments whose beginning stands in an earlier, clearly longer segment of a nearby page."""
+    """Segments that stand in an earlier, clearly longer segment of a nearby page; labels aside."""
     s = views.sections(spark, sf).select("section_id", "doc_id", "ord", "page", "text")
-    a, b = s.alias("a"), s.alias("b")
     near = F.explode(F.array(F.col("page"), F.col("page") + 1))  # an interval join as an equi-join on the pages that a segment reaches
     reach = s.select("doc_id", F.col("ord").alias("o"), F.col("text").alias("t"), near.alias("page"))
-    hits = a.join(reach, (F.col("a.doc_id") == reach["doc_id"]) & (F.col("a.page") == reach["page"]) & (reach["o"] < F.col("a.ord")) & F.contains(reach["t"], F.left(F.col("a.text"), F.lit(20))) & (F.length("a.text") < F.length(reach["t"]) * 0.75))
-    del b
-    return hits.select(F.col("a.section_id").alias("inner_id")).distinct()
+    inner = s.where((F.length("text") >= 40) | F.col("text").rlike("[。！？.!?]"))
+    hits = inner.join(reach, ["doc_id", "page"]).where((F.col("o") < F.col("ord")) & (F.length("text") < F.length("t") * 0.75) & F.contains("t", F.col("text")))
+    return hits.select(F.col("section_id").alias("inner_id")).distinct()

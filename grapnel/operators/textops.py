@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from grapnel.functions import text as tx
+from grapnel.functions.keywords import GENERAL, summary, titles
+from grapnel.operators import structure
 from grapnel.plans import views
 from grapnel.plans.views import oracle, table
 from grapnel.registry import query
@@ -70,7 +72,7 @@ def _toc_lines(spark, sf):
 @query(oracle("""SELECT section_id, CASE ord % 6 WHEN 0 THEN trim('第' || (ord + 1) || '章 ' || left(label, 12)) WHEN 1 THEN '第' || ord || '节 ' || left(label, 9) ELSE trim('第' || ord || '章 ' || left(label, 9)) END AS title,
   CASE WHEN ord % 6 = 1 THEN 2 ELSE 1 END::BIGINT AS level, CASE ord % 6 WHEN 0 THEN ord * 3 WHEN 1 THEN ord ELSE 0 END AS printed_page FROM labeled WHERE ord % 6 < 3 AND label <> ''""", labeled=_LABELED))
 def toc_lines(spark, sf):
-    parsed = _toc_lines(spark, sf).where(F.length(F.regexp_replace("line", "[^a-z]", "")) > 0).withColumn("e", tx.parse_toc_line(F.col("line"))).where("e IS NOT NULL AND ord % 6 < 4")
+    parsed = _toc_lines(spark, sf).where(F.length(F.regexp_replace("line", "[^a-z]", "")) > 0).withColumn("e", tx.parse_toc_line(F.col("line"))).where("e IS NOT NULL")
     return parsed.select("section_id", "e.title", "e.level", "e.printed_page")
 
 
@@ -138,17 +140,34 @@ def block_roles(spark, sf):
     return s.select("section_id", tx.block_role(t, F.col("ord") - 1, F.col("total"), F.lit(0)).alias("role"))
 
 
-@query(oracle("""SELECT section_id, array_to_string(list_transform(list_sort(list_transform(range(1, len(k) + 1), lambda i: {'n': -length(k[i]), 'i': i, 'p': k[i]}))[1:3], lambda x: x.p), '|') AS phrases FROM (
-  SELECT section_id, list_filter(p, lambda x, i: length(x) >= 6 AND length(x) <= 18 AND list_position(p, x) = i) AS k FROM (
-    SELECT section_id, list_transform(flatten(list_transform(list_filter(regexp_split_to_array(text, '[。！？!?.\\n]'), lambda s: s <> '')[1:5], lambda s: regexp_split_to_array(s, '[，、；：,;:]'))), lambda x: trim(x)) AS p FROM sections))"""))
-def keyword_phrases(spark, sf):
-    return _sections(spark, sf).select("section_id", F.array_join(tx.keywords(F.col("text")), "|").alias("phrases"))
+_PHRASES = "list_filter(list_transform(regexp_split_to_array({0}, '{1}'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda p: regexp_matches(p, '[一-鿿a-zA-Z]{{2,}}') AND length(p) >= 3)"
+_SPLIT, _IN = GENERAL.splitter, lambda words: ", ".join(f"'{w}'" for w in words)
+_KEYWORDS = f"""WITH d AS (SELECT doc_id, text, substr(text, 1, 12) AS heading FROM documents WHERE text IS NOT NULL),
+ s AS (SELECT doc_id, heading, array_to_string(list_filter(list_transform(regexp_split_to_array(text, '[。！？!?\\n；;]')[1:5], lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '')[1:3], '') AS t FROM d),
+ p AS (SELECT doc_id, {_PHRASES.format('t', _SPLIT)} AS found, {_PHRASES.format('heading', _SPLIT)} AS hs FROM s),
+ f AS (SELECT doc_id, found, list_filter(found, lambda p: length(p) <= {GENERAL.longest} AND lower(p) NOT IN ({_IN(GENERAL.stops)}) AND p NOT IN ({_IN(GENERAL.unfit)}) AND NOT list_contains(hs, p)) AS fit FROM p),
+ k AS (SELECT doc_id, CASE WHEN len(fit) > 0 THEN fit ELSE list_filter(found, lambda p: lower(p) NOT IN ({_IN(GENERAL.stops)})) END AS kept FROM f),
+ c AS (SELECT doc_id, p, count(*) AS n, min(i) AS i FROM (SELECT doc_id, unnest(kept) AS p, generate_subscripts(kept, 1) AS i FROM k) GROUP BY ALL),
+ o AS (SELECT *, count(*) FILTER (n = 1) OVER (PARTITION BY doc_id) >= 2 AS several FROM c),
+ r AS (SELECT doc_id, list(p ORDER BY length(p) DESC, CASE WHEN several THEN 0 ELSE -n END, i) AS ps FROM o WHERE n = 1 OR NOT several GROUP BY doc_id),
+ g AS (SELECT doc_id, ps, list_reduce(list_concat([''], ps), lambda acc, p: CASE WHEN length(acc) < 6 AND length(acc) + length(p) <= 18 AND NOT contains(acc, p) THEN acc || p ELSE acc END) AS t FROM r)"""
 
 
-@query(oracle("SELECT section_id, CASE WHEN ord % 3 = 0 THEN left(text, 10) || '｜' || left(text, 4) ELSE left(text, 10) END AS title FROM sections"))
+@query(_KEYWORDS + " SELECT d.doc_id, coalesce(substr(CASE WHEN length(t) < 6 THEN ps[1] ELSE t END, 1, 18), '') AS keywords FROM d LEFT JOIN g USING (doc_id)")
+def keyword_summaries(spark, sf):
+    """Keywords of whole documents whose heading is their beginning."""
+    d = table(spark, sf, "documents").where("text IS NOT NULL")
+    return d.select("doc_id", summary(F.col("text"), F.substring("text", 1, 12)).alias("keywords"))
+
+
+@query(oracle(f"""SELECT section_id, CASE role WHEN 'noise' THEN '' WHEN 'front' THEN heading WHEN 'structural' THEN heading ELSE '' END AS structure FROM (SELECT r.section_id, r.role, h.text AS heading FROM ({structure._ROLES}) r
+  JOIN sections s USING (section_id) JOIN sections h ON h.doc_id = s.doc_id AND h.is_head AND h.chapter = s.chapter) WHERE role IN ('noise', 'front', 'structural')"""))
 def augmented_titles(spark, sf):
-    role = F.when(F.col("ord") % 3 == 0, "context").otherwise("content")
-    return _sections(spark, sf).select("section_id", tx.augmented_title(F.left("text", F.lit(10)), F.left("text", F.lit(4)), role).alias("title"))
+    """Structure titles of the sections that take them from their chapter's heading."""
+    s = structure.section_roles(views.sections(spark, sf))
+    h = s.where("is_head").select("doc_id", "chapter", F.col("text").alias("heading"))
+    made = s.join(h, ["doc_id", "chapter"]).withColumn("t", titles(F.col("heading"), F.col("text"), F.col("role"), F.lit("")))
+    return made.where("role IN ('noise', 'front', 'structural')").select("section_id", F.col("t.structure").alias("structure"))
 
 
 @query("""SELECT d.doc_id, b.item_id, instr(d.text, b.text) - 1 AS start, instr(d.text, b.text) - 1 + length(b.text) AS stop FROM documents d JOIN benchmark b ON contains(d.text, b.text)""")

@@ -2,7 +2,7 @@
 
 Tables are written below ``spark.checkpoint.dir``, the one folder that the driver and all executors
 share, so a lost executor never takes the only copy of an intermediate result with it.  Only where
-that setting is absent (tests, notebooks) a local temporary folder is chosen.
+that setting is absent and the master is local (tests, notebooks) a temporary folder is chosen.
 """
 
 from __future__ import annotations
@@ -14,13 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; made and set by us only if nobody configured one."""
+    """The session's shared checkpoint folder; made and set by us only in local mode, where nobody configured one."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if not current:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="grapnel-"))
         current = context.getCheckpointDir()
     return current

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from grapnel.operators.structure import html_elements, markdown_elements
+from grapnel.operators import layout
+from grapnel.operators.retrieval import nearest
+from grapnel.operators.structure import html_elements
 from grapnel.plans.views import table
 from grapnel.registry import query
 
@@ -78,6 +81,149 @@ class _PagesReader(DataSourceReader):
                 yield partition.value, i + 1, text
 
 
+def read_pages(spark: SparkSession, path: str, extract: Callable[[bytes], list[str]] | None = None) -> DataFrame:
+    """Binary documents below a path (any file system) to pages (path, page, text), a file at a time in the executors.
+
+    ``extract`` makes pages of a file's bytes; without it text is split at form feeds.  Several extractors can
+    be tried with :func:`first_that_works`.
+    """
+    pages = extract or (lambda data: data.decode("utf-8", "replace").split("\f"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for file, data in zip(batch["path"], batch["content"]):
+                texts = pages(bytes(data))
+                yield pd.DataFrame({"path": [file] * len(texts), "page": range(1, len(texts) + 1), "text": texts})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, page int, text string")
+
+
+def first_that_works(*extractors: Callable[[bytes], list[str]], recognize: Callable[[bytes], list[str]] | None = None, is_poor: Callable[[list[str]], bool] | None = None) -> Callable[[bytes], list[str]]:
+    """The first extractor that gives text, in order; where its pages are poor, recognition if there is one."""
+
+    def extract(data: bytes) -> list[str]:
+        for one in extractors:
+            try:
+                pages = one(data)
+            except (ImportError, ValueError, OSError):
+                continue
+            if any(p.strip() for p in pages):
+                if recognize is not None and (is_poor or poor_pages)(pages):
+                    return recognize(data)
+                return pages
+        return recognize(data) if recognize is not None else []
+
+    return extract
+
+
+def poor_pages(pages: list[str]) -> bool:
+    """Most pages are lines of one character: the text layer is of no use."""
+    def poor(page: str) -> bool:
+        lines = [x.strip() for x in page.split("\n") if x.strip()]
+        return len(lines) >= 3 and sum(len(x) == 1 and "一" <= x <= "鿿" for x in lines) > 0.6 * len(lines)
+
+    return sum(map(poor, pages)) * 2 > len(pages)
+
+
+SIDECARS = (".md", ".markdown")
+
+
+def sidecars(sources: DataFrame, files: DataFrame, folder: str = "data/parsed_markdown") -> DataFrame:
+    """For each source (``path``) the markdown that stands for it: itself, beside it, or in a folder of parses.
+
+    ``files`` lists what exists (``path``).  The first of the candidates that exists counts.
+    """
+    stem = F.regexp_replace("path", r"\.[^./]*$", "")
+    name = F.regexp_replace(stem, "^.*/", "")
+    own = F.when(F.lower("path").rlike(r"\.(md|markdown)$"), F.col("path"))
+    tries = F.array(own, *(F.concat(stem, F.lit(x)) for x in SIDECARS), *(F.concat(F.lit(f"{folder}/"), name, F.lit(x)) for x in SIDECARS))
+    each = sources.select(F.col("path").alias("source"), F.posexplode(tries).alias("rank", "path")).where("path IS NOT NULL")
+    return each.join(files.select("path").distinct(), "path").groupBy("source").agg(F.min_by("path", "rank").alias("markdown"))
+
+
+def largest_markdown(outputs: DataFrame) -> DataFrame:
+    """Of what a converter wrote (source, path, size) the largest markdown file of each source."""
+    return outputs.where(F.lower("path").rlike(r"\.(md|markdown)$")).groupBy("source").agg(F.max_by("path", F.struct("size", "path")).alias("markdown"))
+
+
+def convert(docs: DataFrame, run: Callable[[str, bytes], list[tuple[str, str]]]) -> DataFrame:
+    """Documents (path, content) through a converter that gives (file name, text); the largest markdown counts.
+
+    The converter (a command, a local model) runs in the executor that holds the file; an empty result
+    leaves the text null, so that the next parser can be tried.
+    """
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch["path"], batch["content"]):
+                made = [x for x in run(path, bytes(content)) if x[0].lower().endswith(SIDECARS)]
+                rows.append((path, max((t for _, t in made), key=len, default=None)))
+            yield pd.DataFrame(rows, columns=["path", "text"])
+
+    return docs.select("path", "content").mapInPandas(each, "path string, text string")
+
+
+def markdown_of_response(content_type: Column, body: Column) -> Column:
+    """The markdown in a conversion service's answer: plain text as it is; in JSON a result's, else a top-level field; null if none."""
+    result = F.map_values(F.from_json(F.get_json_object(body, "$.results"), "map<string,struct<md_content:string,markdown:string,md:string,content:string,text:string>>"))
+    of = lambda x: F.coalesce(*(F.when(F.trim(x[f]) != "", x[f]) for f in ("md_content", "markdown", "md", "content", "text")))
+    nested = F.get(F.filter(F.transform(result, of), lambda x: x.isNotNull()), F.lit(0))
+    top = F.coalesce(*(F.when(F.trim(F.get_json_object(body, f"$.{f}")) != "", F.get_json_object(body, f"$.{f}")) for f in ("markdown", "md", "content", "text")))
+    return F.when(F.contains(F.lower(content_type), F.lit("application/json")), F.coalesce(nested, top)).otherwise(body)
+
+
+def ask_service(docs: DataFrame, post: Callable[[str, bytes], tuple[str, str]], attempts: int = 3) -> DataFrame:
+    """Documents (path, content) through a remote converter ``post(path, bytes) -> (content type, body)``: (path, text)."""
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch["path"], batch["content"]):
+                told = ("", None)
+                for _ in range(attempts):
+                    try:
+                        told = post(path, bytes(content))
+                        break
+                    except (ConnectionError, TimeoutError):
+                        continue
+                rows.append((path, *told))
+            yield pd.DataFrame(rows, columns=["path", "content_type", "body"])
+
+    said = docs.select("path", "content").mapInPandas(each, "path string, content_type string, body string")
+    return said.select("path", markdown_of_response(F.col("content_type"), F.col("body")).alias("text"))
+
+
+def embed(texts: DataFrame, key: str, text: str, model: Callable[[list[str]], list[list[float]]]) -> DataFrame:
+    """(key, embedding) from a pluggable model, in Arrow batches: an HTTP client, a local model, a stand-in."""
+    kind = texts.schema[key].dataType.simpleString()
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({key: batch[key], "embedding": [list(map(float, v)) for v in model(batch[text].tolist())]})
+
+    return texts.select(key, text).mapInPandas(each, f"{key} {kind}, embedding array<double>")
+
+
+class VectorIndex:
+    """Vectors in Parquet, one folder a graph: a scoped delete drops folders, a search is one pass with a top-k."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def build(self, rows: DataFrame) -> None:
+        """Replace all.  ``rows``: id, graph_id, text, embedding."""
+        write_vector_index(rows, self.path)
+
+    def search(self, target: list[float], k: int, graphs: tuple[str, ...] = ()) -> DataFrame:
+        """The k nearest; graphs are asked for afterwards, so fewer can be left."""
+        near = nearest(self.spark.read.parquet(self.path), target, k, "embedding", "id")
+        return near.where(F.col("graph_id").isin(*graphs)) if graphs else near
+
+    def delete_graph(self, graph: str) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/graph_id={graph}")
+        folder.getFileSystem(conf).delete(folder, True)
+
+
 # ---- parsers ---------------------------------------------------------------------------------------
 
 PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
@@ -101,8 +247,12 @@ def create_parser(name: str) -> Callable[[DataFrame], DataFrame]:
 
 @parser("markdown")
 @parser("external_markdown")
+@parser("mineru_api")
+@parser("mineru_markdown")
+@parser("marker_markdown")
+@parser("docling")
 def _markdown(docs: DataFrame) -> DataFrame:
-    return markdown_elements(docs, "doc_id", "text").select("doc_id", F.col("line_no").alias("order_index"), "type", "level", "text")
+    return layout.markdown_document(docs.select("doc_id", "text")).select("doc_id", "order_index", "type", "level", "text")
 
 
 @parser("html")
@@ -110,8 +260,23 @@ def _html(docs: DataFrame) -> DataFrame:
     return html_elements(docs.select(F.col("doc_id").alias("page_id"), F.col("text").alias("html"))).select(F.col("page_id").alias("doc_id"), "order_index", "type", F.when(F.col("type") == "heading", 1).alias("level"), "text")
 
 
-@parser("plain")
 @parser("pdfplumber")
+def _pages(docs: DataFrame) -> DataFrame:
+    """Texts whose pages are parted by form feeds: body pages, blank-line paragraphs."""
+    pages = docs.select("doc_id", F.posexplode(F.split("text", "\f")).alias("page", "text")).withColumn("page", F.col("page") + 1)
+    return layout.rule_paragraphs(pages).select("doc_id", "order_index", "type", F.lit(None).cast("int").alias("level"), "text")
+
+
+@parser("pymupdf")
+def _blocks(docs: DataFrame) -> DataFrame:
+    """Texts whose layout blocks are parted by blank lines and pages by form feeds: continuations joined, noise dropped."""
+    pages = docs.select("doc_id", F.posexplode(F.split("text", "\f")).alias("page", "text"))
+    blocks = pages.select("doc_id", (F.col("page") + 1).alias("page"), F.posexplode(F.split("text", "\n[ \t]*\n")).alias("no", "text"))
+    ordered = blocks.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "no")))
+    return layout.merged_blocks(ordered).select("doc_id", "order_index", "type", F.lit(None).cast("int").alias("level"), "text")
+
+
+@parser("plain")
 def _plain(docs: DataFrame) -> DataFrame:
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("order_index", "text"))
     return lines.where(F.btrim("text") != "").select("doc_id", "order_index", F.lit("paragraph").alias("type"), F.lit(None).cast("int").alias("level"), "text")
@@ -155,3 +320,15 @@ def parser_html(spark, sf):
 def parser_plain(spark, sf):
     e = create_parser("plain")(table(spark, sf, "documents")).groupBy("doc_id").agg(F.count("*").alias("n"))
     return e.withColumn("needs_review", needs_review(F.col("n"), F.lit(1)))
+
+
+_BLOCKS = """SELECT doc_id, i, trim(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM (SELECT doc_id, unnest(s) AS t, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '\\n[ \\t]*\\n') AS s FROM documents))"""
+
+
+@query(f"""SELECT doc_id, count(*) AS n, sum(length(t))::BIGINT AS n_chars FROM (SELECT doc_id, unnest(f).t AS t FROM (SELECT doc_id, list_reduce(list([{{'t': t}}] ORDER BY i), lambda acc, x: CASE WHEN NOT regexp_matches(acc[-1].t, '[。！？!?」】)）]$')
+  AND (length(acc[-1].t) < 40 OR (length(acc[-1].t) < 200 AND length(x[1].t) < 200 AND NOT regexp_matches(acc[-1].t, '[.!?;]$'))) THEN list_concat(acc[:-2], [{{'t': acc[-1].t || ' ' || x[1].t}}]) ELSE list_concat(acc, x) END) AS f
+  FROM ({_BLOCKS}) WHERE length(t) >= 15 GROUP BY doc_id)) WHERE length(t) >= 10 AND NOT regexp_matches(t, '^[0-9\\s.]*$') AND NOT regexp_matches(t, '^[・·.]{{5,}}$') GROUP BY doc_id""")
+def parser_blocks(spark, sf):
+    """Blocks of whole documents with their continuations."""
+    e = create_parser("pymupdf")(table(spark, sf, "documents"))
+    return e.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"))

@@ -1,16 +1,19 @@
 """Task progress: an append-only event stream with a sequence a task, latest state, staleness.
 
 The batch functions define the meaning; the streaming ones keep it with Structured Streaming: a file
-source, event-time watermarks, update mode into ``foreachBatch`` upserts or a memory table.
+source, event-time watermarks, update mode into a table of batches or ``foreachBatch`` upserts.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from grapnel.plans.views import table
 from grapnel.registry import query
+from grapnel.scratch import checkpoint_dir
 
 STALE_SECONDS = 600
 TERMINAL = ("purchase", "error")
@@ -60,17 +63,31 @@ def _stream(spark: SparkSession, path: str, schema) -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def stream_latest(spark: SparkSession, path: str, schema, name: str) -> StreamingQuery:
-    """The latest state of every task as a stream: keyed state, whole table after each batch."""
-    events = _stream(spark, path, schema)
-    return latest(events).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+def _to_table(changes: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Changed rows of each micro-batch into a folder of its own: a batch that is run again replaces its folder."""
+
+    def write(frame: DataFrame, batch: int) -> None:
+        frame.write.mode("overwrite").parquet(f"{target}/batch={batch}")
+
+    return changes.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_table(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
+    """What the stream says by now: the row of the latest batch for each key."""
+    w = Window.partitionBy(*keys).orderBy(F.desc("batch"))
+    return spark.read.parquet(target).withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn", "batch")
 
 
-def stream_windows(spark: SparkSession, path: str, schema, name: str, delay: str = "1 hour", width: str = "1 day") -> StreamingQuery:
-    """Counts by event-time window and stage; late rows within the watermark still count."""
+def stream_latest(spark: SparkSession, path: str, schema, target: str, checkpoint: str) -> StreamingQuery:
+    """The latest state of every task as a stream: keyed state, changed tasks go out."""
+    return _to_table(latest(_stream(spark, path, schema)), target, checkpoint)
+
+
+def stream_windows(spark: SparkSession, path: str, schema, target: str, checkpoint: str, delay: str = "1 hour", width: str = "1 day") -> StreamingQuery:
+    """Counts by event-time window and stage; late rows within the watermark still count, older windows leave the state."""
     events = _stream(spark, path, schema).withWatermark("ts", delay)
     counts = events.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    return counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    return _to_table(counts.select(F.col("window.start").alias("start"), "event_type", "n", "total"), target, checkpoint)
 
 
 def stream_upsert(spark: SparkSession, path: str, schema, sink, checkpoint: str) -> StreamingQuery:
@@ -79,6 +96,40 @@ def stream_upsert(spark: SparkSession, path: str, schema, sink, checkpoint: str)
     return latest(events).writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def with_heartbeats(events: DataFrame, seconds: int = 15) -> DataFrame:
+    """Events and, in every gap of a task, a beat each so many seconds: what a client that waits would see."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    gap = events.withColumn("__next", F.lead("ts").over(w)).where(F.col("__next") > F.col("ts") + F.make_interval(secs=F.lit(seconds)))
+    every = F.make_dt_interval(secs=F.lit(seconds))
+    beats = gap.select("user_id", F.explode(F.sequence(F.col("ts") + every, F.col("__next"), every)).alias("ts"), "__next").where(F.col("ts") < F.col("__next"))
+    return events.select("user_id", "ts", F.lit("event").alias("kind")).unionByName(beats.select("user_id", "ts", F.lit("heartbeat").alias("kind")))
+
+
+def polled(events: DataFrame, every: float = 0.5, misses: int = 20) -> DataFrame:
+    """When each event reaches a client that polls: the first tick at or after it, counted from the task's start.
+
+    A client gives up after more than ``misses`` ticks without news, so later events of that task aren't
+    sent: (user_id, event_id, tick, sent).
+    """
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    whole = Window.partitionBy("user_id")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    t = (micros - F.min(micros).over(whole)) / 1e6
+    told = events.withColumn("tick", F.ceil(t / every).cast("long")).withColumn("gap", F.col("tick") - F.coalesce(F.lag("tick").over(w), F.lit(0)))
+    gone = F.max((F.col("gap") > misses).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return told.select("user_id", "event_id", "tick", (gone == 0).alias("sent"))
+
+
+def opened(tasks: DataFrame) -> DataFrame:
+    """The first event of a new task."""
+    return tasks.select("user_id", F.lit(0).cast("long").alias("seq"), F.lit("created").alias("event_type"), F.lit(0.0).alias("value"))
+
+
+def removed(events: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Events without those of tasks that were cleaned up."""
+    return events.join(tasks.select("user_id").distinct(), "user_id", "left_anti")
+
+
 # ---- queries ---------------------------------------------------------------------------------------
 
 @query("SELECT user_id, event_id, event_type, value, n AS n_events FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE rn = 1")
@@ -111,22 +162,24 @@ def audit_summary(spark, sf):
 @query("SELECT user_id, event_id, event_type, value, n AS n_events FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE rn = 1")
 def progress_latest_stream(spark, sf):
     """The same rows from a stream that reads the events' folder to its end."""
-    import uuid
-
-    name = f"latest_{uuid.uuid4().hex}"
-    q = stream_latest(spark, f"{sf}/events.parquet", spark.read.parquet(f"{sf}/events.parquet").schema, name)
+    target = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    q = stream_latest(spark, f"{sf}/events.parquet", spark.read.parquet(f"{sf}/events.parquet").schema, f"{target}/out", f"{target}/checkpoint")
     q.awaitTermination()
-    return spark.table(name).drop("ts")
+    return read_table(spark, f"{target}/out", ["user_id"]).drop("ts")
 
 
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def progress_windows_stream(spark, sf):
-    import uuid
-
-    name = f"windows_{uuid.uuid4().hex}"
-    q = stream_windows(spark, f"{sf}/events.parquet", spark.read.parquet(f"{sf}/events.parquet").schema, name)
+    target = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    q = stream_windows(spark, f"{sf}/events.parquet", spark.read.parquet(f"{sf}/events.parquet").schema, f"{target}/out", f"{target}/checkpoint")
     q.awaitTermination()
-    return spark.table(name).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+    return read_table(spark, f"{target}/out", ["start", "event_type"]).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""SELECT user_id, event_id, tick::BIGINT AS tick, max(CASE WHEN gap > 20 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) = 0 AS sent FROM (
+  SELECT *, tick - coalesce(lag(tick) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS gap FROM (SELECT *, ceil((epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 1e6 / 0.5) AS tick FROM events))""")
+def progress_polled(spark, sf):
+    return polled(table(spark, sf, "events"))
 
 
 @query("""SELECT user_id, count(*) AS n_sessions, max(n) AS longest FROM (SELECT user_id, s, count(*) AS n FROM (SELECT *, sum(CASE WHEN ts >= p + INTERVAL 6 HOUR OR p IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s
