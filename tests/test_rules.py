@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from grapnel import catalog
-from grapnel.functions import text as tx
-from grapnel.operators import linkage, retrieval, structure, traversal
-from grapnel.sources import connectors
+from grapnel.functions import keywords, text as tx
+from grapnel.operators import answers, linkage, repair, retrieval, traversal
+from grapnel.sources import config, connectors
+from grapnel.streaming import progress
 
 
 def one(spark, value, rule):
@@ -47,12 +48,6 @@ def test_locate_marks_inexact(spark):
     assert [r["r"] and tuple(r["r"]) for r in rows] == [(3, 7, True), (2, 6, False), None]
 
 
-def test_stitch_is_a_fold(spark):
-    rows = [(1, i, t) for i, t in enumerate(["a sentence without an end", "goes on in this line.", "a new one that is closed.", "short", "x" * 790, "y" * 30])]
-    got = structure.stitch(spark.createDataFrame(rows, "doc_id long, ord long, text string")).orderBy("block").collect()
-    assert [r["n_parts"] for r in got] == [2, 1, 1, 1, 1]
-
-
 def test_auto_parse_prefers_good_then_last(spark):
     rows = [(1, "mineru_api", True), (1, "external_markdown", False), (1, "pdfplumber", False), (2, "mineru_api", True), (2, "external_markdown", True), (2, "pdfplumber", True)]
     got = connectors.auto_parse(spark.createDataFrame(rows, "doc_id long, parser string, needs_review boolean"))
@@ -142,8 +137,101 @@ def test_transfer_walks_bridges(spark, monkeypatch):
     made = [("g1", "a", "b", "analogous_to", "active", 0.9), ("g2", "b", "c", "transfers_to", "active", 0.9), ("g3", "c", "d", "applies_to", "active", 0.9), ("g4", "d", "e", "applies_to", "active", 0.9)]
     made += [("g9", "a", "x", "analogous_to", "active", 0.9), ("g1", "a", "y", "analogous_to", "candidate", 0.9), ("g1", "a", "z", "same_as", "active", 0.9)]
     bridges = spark.createDataFrame([(*m, 5.0) for m in made], "source_graph_id string, source_id string, target_id string, bridge_type string, review_status string, confidence double, cost double")
-    monkeypatch.setattr(traversal, "stored_graph", lambda spark, sf: (nodes, edges))
-    monkeypatch.setattr(traversal, "_starts", lambda spark, sf: ["a"])
-    monkeypatch.setattr(traversal, "stored_bridges", lambda spark, sf: bridges, raising=False)
+    monkeypatch.setattr(answers, "open_store", lambda spark, sf: answers.GraphStore(nodes, edges, answers.both_ways(edges), nodes, bridges))
+    monkeypatch.setattr(traversal, "_starts", lambda store: ["a"])
     got = catalog.QUERIES["walk_transfer"](spark, "")
     assert [r["node_id"] for r in got.orderBy("pop_order").collect()] == ["a", "b", "c", "d"]  # three jumps and no more
+
+
+def test_keywords_and_titles(spark):
+    rows = [
+        ("光合作用的过程，叶绿体吸收光能。类囊体薄膜", "光合作用", "context", ""), ("the chloroplast absorbs light energy. chloroplast again, chloroplast", "", "content", ""), ("", "h", "structural", "toc"), ("of the", "", "context", ""), ("x", "x", "noise", ""), ("some preface", "h", "front", "t"),
+    ]
+    d = spark.createDataFrame(rows, "t string, h string, r string, c string")
+    got = d.select(keywords.summary(F.col("t"), F.col("h")).alias("k"), keywords.titles(F.col("h"), F.col("t"), F.col("r"), F.col("c")).alias("x")).collect()
+    assert [g["k"] for g in got] == ["类囊体薄膜叶绿体吸收光能", "absorbslight", "", "", "", "preface"]
+    assert [tuple(g["x"]) for g in got] == [("光合作用", "光合作用｜类囊体薄膜叶绿体吸收光能"), ("absorbslight", "absorbslight"), ("toc", "toc"), ("", "of the"), ("", ""), ("t", "h")]
+    assert d.select(keywords.older_title(F.col("h"), F.col("t"), F.lit("context_heading")).alias("x")).first()["x"].startswith("光合作用｜")
+
+
+def test_leading_numbers_of_pages(spark):
+    s = spark.createDataFrame([(1, 1, "144 the text"), (1, 2, "2007 年 text"), (1, 3, "144 again"), (1, 4, "3 章 x"), (1, 5, "no number"), (2, 1, "7\tbody")], "doc_id long, ord int, text string")
+    n = repair.page_numbers(s)
+    assert sorted((r["doc_id"], r["number"], r["n"], r["context"], r["is_page"]) for r in n.collect()) == [(1, "144", 2, "144 the text", True), (2, "7", 1, "7\tbody", True)]
+    assert [r["text"] for r in repair.without_page_numbers(s, n).orderBy("doc_id", "ord").collect()] == ["the text", "2007 年 text", "again", "3 章 x", "no number", "body"]
+
+
+def test_parsers_of_files(spark, tmp_path):
+    for name, text in (("a.pdf", "one\ftwo"), ("b.pdf", "")):
+        (tmp_path / name).write_bytes(text.encode())
+    got = connectors.read_pages(spark, str(tmp_path)).collect()
+    assert sorted((r["path"].rsplit("/", 1)[1], r["page"], r["text"]) for r in got) == [("a.pdf", 1, "one"), ("a.pdf", 2, "two"), ("b.pdf", 1, "")]
+
+    def broken(data):
+        raise ImportError("no such library")
+
+    extract = connectors.first_that_works(broken, lambda d: [""], lambda d: ["知\n识\n图"], recognize=lambda d: ["seen"])
+    assert extract(b"") == ["seen"] and connectors.first_that_works(broken)(b"") == [] and connectors.first_that_works(lambda d: ["text"])(b"") == ["text"]
+    sources = spark.createDataFrame([("x/a.pdf",), ("x/b.pdf",), ("x/c.md",), ("x/d.pdf",)], "path string")
+    files = spark.createDataFrame([("x/a.markdown",), ("x/a.md",), ("data/parsed_markdown/b.md",), ("x/c.md",)], "path string")
+    assert {r["source"]: r["markdown"] for r in connectors.sidecars(sources, files).collect()} == {"x/a.pdf": "x/a.md", "x/b.pdf": "data/parsed_markdown/b.md", "x/c.md": "x/c.md"}
+    made = spark.createDataFrame([("s", "o/a.md", 5), ("s", "o/b.MD", 9), ("s", "o/c.txt", 99)], "source string, path string, size int")
+    assert connectors.largest_markdown(made).first()["markdown"] == "o/b.MD"
+    docs = spark.createDataFrame([("p", bytearray(b"x"))], "path string, content binary")
+    assert connectors.convert(docs, lambda path, data: [("a.md", "short"), ("b.md", "the longer"), ("c.txt", "x" * 99)]).first()["text"] == "the longer"
+    calls = []
+
+    def post(path, data):
+        calls.append(path)
+        return "application/json", '{"results": {"f": {"md_content": "# T"}}}'
+
+    assert connectors.ask_service(docs, post).first()["text"] == "# T"
+    bodies = [("application/json", '{"md": "m", "text": "t"}', "m"), ("application/json; x", '{"results": {"a": {"other": 1}}}', None), ("text/markdown", "# raw", "# raw"), ("application/json", '{"results": {"a": {"text": "n"}}, "md": "top"}', "n")]
+    frame = spark.createDataFrame([b[:2] for b in bodies], "c string, b string").select(connectors.markdown_of_response(F.col("c"), F.col("b")).alias("r"))
+    assert [r["r"] for r in frame.collect()] == [b[2] for b in bodies]
+    for name in ("docling", "mineru_api", "pymupdf", "pdfplumber", "marker_markdown"):
+        assert connectors.create_parser(name)
+    with pytest.raises(ValueError):
+        connectors.create_parser("none")
+
+
+def test_vector_index_and_embedding(spark, tmp_path):
+    index = connectors.VectorIndex(spark, f"{tmp_path}/v")
+    texts = spark.createDataFrame([(f"c{i}", "gh"[i % 2], f"text {i}") for i in range(6)], "id string, graph_id string, text string")
+    vectors = connectors.embed(texts, "id", "text", lambda ts: [[float(t.split()[1]), 0.0] for t in ts])
+    index.build(texts.join(vectors, "id"))
+    assert [r["id"] for r in index.search([2.2, 0.0], 3).collect()] == ["c2", "c3", "c1"]
+    assert [r["id"] for r in index.search([2.2, 0.0], 3, ("g",)).collect()] == ["c2"]
+    index.delete_graph("g")
+    assert [r["id"] for r in index.search([2.2, 0.0], 3).collect()] == ["c3", "c1", "c5"]
+
+
+def test_settings_and_endpoints(tmp_path):
+    env = {"GRAPNEL_MODEL": "all", "GRAPNEL_REVIEW_MODEL": "own", "GRAPNEL_REVIEW_API_KEY": "abcdefghijklmnop"}
+    e = config.endpoints(env)
+    assert (e["default"].model, e["review"].model) == ("all", "own") and e["review"].public()["api_key"] == "" and e["review"].public()["api_key_masked"] == "abc…mnop"
+    assert config.segmenter("auto", e["review"]) == "model" and config.segmenter("auto", e["segment"]) == "rule"
+    path, base = str(tmp_path / "s.json"), {"a": {"b": 1, "c": 2}}
+    assert config.load(path, base) == base
+    config.save(path, base, {"a": {"b": 9}, "d": 4})
+    assert config.load(path, base) == {"a": {"b": 9, "c": 2}, "d": 4} and base == {"a": {"b": 1, "c": 2}}
+
+
+def test_progress_extras(spark, tmp_path):
+    rows = [(1, 1, 0.0), (1, 2, 0.3), (1, 3, 9.0), (1, 4, 40.0), (1, 5, 41.0), (2, 6, 5.0)]
+    e = spark.createDataFrame([(u, i, t) for u, i, t in rows], "user_id long, event_id long, t double").select("user_id", "event_id", F.timestamp_micros((F.lit(10**15) + F.col("t") * 1_000_000).cast("long")).alias("ts"))
+    assert [(r["event_id"], r["tick"], r["sent"]) for r in progress.polled(e, 0.5, 20).orderBy("event_id").collect()] == [(1, 0, True), (2, 1, True), (3, 18, True), (4, 80, False), (5, 82, False), (6, 0, True)]
+    beats = progress.with_heartbeats(e, 15).where("kind = 'heartbeat'").collect()
+    assert len(beats) == 2
+    assert progress.removed(e, e.where("user_id = 1")).count() == 1 and progress.opened(e.limit(1)).first()["seq"] == 0
+    seen = []
+    e.write.parquet(f"{tmp_path}/e.parquet")
+    q = progress.stream_upsert(spark, f"{tmp_path}/e.parquet", e.withColumns({"event_type": F.lit("x"), "value": F.lit(1.0)}).schema, lambda frame, batch: seen.append(frame.count()), f"{tmp_path}/c")
+    q.awaitTermination()
+    assert sum(seen) == 2
+
+
+def test_logs_are_appended(spark, tmp_path):
+    for n in (1, 2):
+        connectors.write_log(spark.createDataFrame([("found", f"p{n}", float(n))], "event string, paper_id string, timestamp double"), f"{tmp_path}/log")
+    assert [r["paper_id"] for r in connectors.read_audit(spark, f"{tmp_path}/log", "found").orderBy("timestamp").collect()] == ["p1", "p2"]
