@@ -65,7 +65,9 @@ def summary(text: Column, heading: Column, rules: Keywords = GENERAL, least: int
     is_stop = lambda p: lower(p).isin(*rules.stops)
 
     def chosen(found: Column) -> Column:
-        fit = F.filter(found, lambda p: (F.length(p) >= 3) & (F.length(p) <= rules.longest) & ~is_stop(p) & ~p.isin(*rules.unfit) & ~F.array_contains(phrases(heading, rules), p))
+        # the heading's phrases are taken apart once, not for each phrase of the text
+        good = F.filter(found, lambda p: (F.length(p) >= 3) & (F.length(p) <= rules.longest) & ~is_stop(p) & ~p.isin(*rules.unfit))
+        fit = F.get(F.transform(F.array(phrases(heading, rules)), lambda own: F.filter(good, lambda p: ~F.array_contains(own, p))), F.lit(0))
         return F.get(F.transform(F.array(fit), lambda f: F.when(F.size(f) > 0, f).otherwise(F.filter(found, lambda p: ~is_stop(p)))), F.lit(0))
 
     def ranked(kept: Column) -> Column:

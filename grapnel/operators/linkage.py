@@ -16,10 +16,16 @@ MIN_JACCARD = 0.25
 # ---- operators -------------------------------------------------------------------------------------
 
 def shingles(text: Column, k: int = 3) -> Column:
-    """Distinct lower-case character k-grams, blanks collapsed; a shorter text is its own shingle."""
-    t = flat_title(text)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (k - 1), F.lit(1))), lambda i: F.substr(t, i, F.lit(k)))
-    return F.when(F.length(t) < k, F.array(t)).otherwise(F.array_distinct(grams))
+    """Distinct lower-case character k-grams, blanks collapsed; a shorter text is its own shingle.
+
+    The text is taken apart once: titles can be whole documents of one line.
+    """
+    def grams(ch: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(ch) - k, F.lit(0)))
+        return F.when(F.size(ch) < k, F.array(F.array_join(ch, ""))).otherwise(F.array_distinct(F.transform(starts, lambda i: F.concat(*(F.get(ch, i + j) for j in range(k))))))
+
+    letters = F.filter(F.split(flat_title(text), ""), lambda c: c != "")
+    return F.get(F.transform(F.array(letters), grams), F.lit(0))
 
 
 def flat_title(text: Column) -> Column:
@@ -55,14 +61,22 @@ def jaccard_pairs(titles: DataFrame, key: str, text: str, least: float = MIN_JAC
     return both.withColumn("jaccard", F.round(j, 6)).where(j >= least).select("a", "b", "common", "jaccard")
 
 
-def minhash_pairs(titles: DataFrame, key: str, text: str, least: float = MIN_JACCARD, tables: int = 32) -> DataFrame:
-    """The sketch that finds the same candidates without a join on shingles: Spark's MinHash LSH."""
-    from pyspark.ml.feature import HashingTF, MinHashLSH
+def minhash_pairs(titles: DataFrame, key: str, text: str, least: float = MIN_JACCARD, tables: int = 16) -> DataFrame:
+    """The sketch: pairs that agree on one of ``tables`` min-hashes, verified on the whole sets.
 
-    made = HashingTF(inputCol="s", outputCol="v", numFeatures=1 << 18, binary=True).transform(titles.select(F.col(key).alias("id"), shingles(F.col(text)).alias("s")))
-    model = MinHashLSH(inputCol="v", outputCol="h", numHashTables=tables, seed=7).fit(made)
-    near = model.approxSimilarityJoin(made, made, 1 - least, "distance")
-    return near.where("datasetA.id < datasetB.id").select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), (1 - F.col("distance")).alias("jaccard"))
+    A pair of Jaccard j is found with 1 - (1 - j) ** tables, 0.99 at a quarter.  Different titles only,
+    each by its smallest key.
+    """
+    firsts = title_classes(titles, key, text).where(F.col(key) == F.col("first")).select(key)
+    sets = materialize(titles.join(firsts, key, "left_semi").select(F.col(key).alias("id"), shingles(F.col(text)).alias("s")), "shingles")
+    least_of = lambda t: F.array_min(F.transform("s", lambda x: F.xxhash64(F.lit(t), x)))
+    keyed = sets.select("id", F.posexplode(F.array(*map(least_of, range(tables)))).alias("t", "h"))
+    a, b = keyed.alias("a"), keyed.alias("b")
+    pairs = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    j = common / (F.size("sa") + F.size("sb") - common)
+    return both.withColumn("j", j).where(F.col("j") >= least).select("a", "b", F.col("j").alias("jaccard"))
 
 
 def series_decision(pairs: DataFrame, classes: DataFrame, key: str) -> DataFrame:
