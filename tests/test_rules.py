@@ -235,3 +235,20 @@ def test_logs_are_appended(spark, tmp_path):
     for n in (1, 2):
         connectors.write_log(spark.createDataFrame([("found", f"p{n}", float(n))], "event string, paper_id string, timestamp double"), f"{tmp_path}/log")
     assert [r["paper_id"] for r in connectors.read_audit(spark, f"{tmp_path}/log", "found").orderBy("timestamp").collect()] == ["p1", "p2"]
+
+
+def test_title_pairs_against_all_pairs(spark):
+    r = random.Random(9)
+    words = ["graph", "cell", "theory", "of", "deep", "learning", "models", "🙂é", "noise", "a"]
+    titles = [(i, " ".join(r.choices(words, k=r.randrange(1, 7)))) for i in range(60)] + [(60, "Deep  Learning"), (61, "deep learning"), (62, "ab")]
+    flat = {i: " ".join(t.lower().split()) for i, t in titles}
+    first = {}
+    for i, t in flat.items():
+        first.setdefault(t, i)
+    sets = {i: {t} if len(t) < 3 else {t[j : j + 3] for j in range(len(t) - 2)} for t, i in first.items()}
+    want = {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for a in sets for b in sets if a < b and 4 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
+    frame = spark.createDataFrame(titles, "k long, t string")
+    assert {(x["a"], x["b"]): x["jaccard"] for x in linkage.jaccard_pairs(frame, "k", "t").collect()} == want
+    found = {(x["a"], x["b"]): round(x["jaccard"], 6) for x in linkage.minhash_pairs(frame, "k", "t").collect()}
+    assert found.items() <= want.items() and len(found) >= 0.9 * len(want)
+    assert {x["k"]: x["first"] for x in linkage.title_classes(frame, "k", "t").collect()} == {i: first[t] for i, t in flat.items()}
