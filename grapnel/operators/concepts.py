@@ -84,16 +84,17 @@ def register_in_order(new: DataFrame, known: DataFrame) -> DataFrame:
 
     A key of the graph that is known or came earlier rejects; else an alias of the graph that is known or
     came earlier with a concept that was taken asks for review, as a strict policy does; else it is taken.
-    Keys only count from their first bearer, so both tests are joins with what came first.
+    Keys only count from their first bearer, so both tests are joins with what came first.  ``seq`` is unique and
+    of any sortable type; what is known comes before all of it.
     """
     k = known.select("graph_id", "concept_key", F.lit(True).alias("__known")).distinct()
     first = Window.partitionBy("graph_id", "concept_key").orderBy("seq")
     told = new.withColumn("__rn", F.row_number().over(first)).join(k, ["graph_id", "concept_key"], "left")
     told = told.withColumn("__taken", F.coalesce(F.col("__known"), F.lit(False)) | (F.col("__rn") > 1))
     mine = told.select("graph_id", "seq", "concept_key", "__taken", F.explode("aliases").alias("alias"))
-    held = mine.where(~F.col("__taken")).select("graph_id", "alias", "seq").unionByName(known.select("graph_id", F.explode("aliases").alias("alias"), F.lit(-1).cast("long").alias("seq")))
-    earliest = held.groupBy("graph_id", "alias").agg(F.min("seq").alias("__first"))
-    shares = mine.join(earliest, ["graph_id", "alias"]).where(F.col("__first") < F.col("seq")).select("seq").distinct().withColumn("__shares", F.lit(True))
+    held = mine.where(~F.col("__taken")).select("graph_id", "alias", "seq").unionByName(known.select("graph_id", F.explode("aliases").alias("alias"), F.lit(None).cast(new.schema["seq"].dataType).alias("seq")))
+    earliest = held.groupBy("graph_id", "alias").agg(F.min("seq").alias("__first"), F.bool_or(F.col("seq").isNull()).alias("__before"))
+    shares = mine.join(earliest, ["graph_id", "alias"]).where(F.col("__before") | (F.col("__first") < F.col("seq"))).select("seq").distinct().withColumn("__shares", F.lit(True))
     out = told.join(shares, "seq", "left")
     return out.withColumn("decision", F.when(F.col("__taken"), "reject_duplicate").when(F.coalesce("__shares", F.lit(False)) | (F.col("merge_policy") == "strict"), "needs_review").otherwise("accept_candidate")).drop("__rn", "__known", "__taken", "__shares")
 

@@ -186,9 +186,8 @@ _SEQ = "SELECT graph_id, concept_key, aliases, rank, row_number() OVER (ORDER BY
 def register_decisions(spark, sf):
     """All concepts of all graphs, registered one after the other in one registry."""
     c = views.concepts(spark, sf)
-    # graphs times ten rows: the order is data, so it is numbered by (graph, rank) as a sortable key
-    places = c.select("graph_id").distinct().withColumn("g", F.row_number().over(Window.orderBy("graph_id")))
-    new = c.join(places, "graph_id").select((F.col("g") * 1000 + F.col("rank")).alias("seq"), F.lit("*").alias("graph_id"), F.col("graph_id").alias("home"), "concept_key", "aliases", F.when(F.col("rank") % 4 == 0, "strict").otherwise("open").alias("merge_policy"))
+    # the order is data: any sortable key will do, so nothing is numbered across graphs
+    new = c.select(F.struct("graph_id", "rank").alias("seq"), F.lit("*").alias("graph_id"), F.col("graph_id").alias("home"), "concept_key", "aliases", F.when(F.col("rank") % 4 == 0, "strict").otherwise("open").alias("merge_policy"))
     told = register_in_order(new, new.limit(0))
     return told.select(F.col("home").alias("graph_id"), "concept_key", "decision")
 
@@ -205,11 +204,28 @@ def cleaned_terms(spark, sf):
     return views.papers(spark, sf).select("paper_id", F.array_join(clean_terms(raw), "|").alias("terms"))
 
 
-@query(oracle("""SELECT graph_id_a, concept_key_a, graph_id_b, concept_key_b, bridge_type, confidence, CASE WHEN bridge_type = 'same_as' AND confidence >= 0.8 AND ns THEN 'active' ELSE 'candidate' END AS review_status FROM (
-  SELECT graph_id_a, concept_key_a, graph_id_b, concept_key_b, ns, CASE WHEN la = lb OR n > 0 THEN 'same_as' ELSE 'analogous_to' END AS bridge_type,
-    CASE WHEN la = lb THEN 0.9::DOUBLE WHEN n > 0 THEN round(least(0.7, 0.4 + 0.1 * n), 6)::DOUBLE ELSE 0.4::DOUBLE END AS confidence
+_BRIDGES = """SELECT graph_id_a, concept_key_a, graph_id_b, concept_key_b, bridge_type, confidence, CASE WHEN bridge_type = 'same_as' AND confidence >= 0.8 AND ns THEN 'active' ELSE 'candidate' END AS review_status FROM (
+  SELECT graph_id_a, concept_key_a, graph_id_b, concept_key_b, ns, CASE WHEN la = lb OR sa = sb OR n > 0 THEN 'same_as' WHEN ns AND chars >= 3 THEN 'analogous_to' ELSE 'applies_to' END AS bridge_type,
+    CASE WHEN la = lb THEN 0.9::DOUBLE WHEN sa = sb THEN 0.8::DOUBLE WHEN n > 0 THEN round(least(0.7, 0.4 + 0.1 * n), 6)::DOUBLE WHEN ns AND chars >= 3 THEN 0.4::DOUBLE ELSE 0.3::DOUBLE END AS confidence
   FROM (SELECT a.graph_id AS graph_id_a, a.concept_key AS concept_key_a, b.graph_id AS graph_id_b, b.concept_key AS concept_key_b, lower(a.label) AS la, lower(b.label) AS lb, a.namespace = b.namespace AS ns,
+      regexp_replace(a.concept_key, '^[^:]*:', '') AS sa, regexp_replace(b.concept_key, '^[^:]*:', '') AS sb, least(a.namespace, b.namespace) = 'concept' AND greatest(a.namespace, b.namespace) = 'framework' AS applies,
       len(list_intersect(a.aliases, b.aliases)) AS n, len(list_intersect(list_distinct(string_split(lower(a.label), '')), list_distinct(string_split(lower(b.label), '')))) AS chars
-    FROM concepts a JOIN concepts b ON a.graph_id < b.graph_id AND a.status = 'active' AND b.status = 'active') WHERE la = lb OR n > 0 OR (ns AND chars >= 3))"""))
+    FROM bridged a JOIN bridged b ON a.graph_id < b.graph_id AND a.status = 'active' AND b.status = 'active') WHERE la = lb OR sa = sb OR n > 0 OR (ns AND chars >= 3) OR applies)"""
+
+
+@query(oracle(_BRIDGES, bridged="SELECT * FROM concepts"))
 def bridges(spark, sf):
     return bridge_candidates(materialize(views.concepts(spark, sf), "concepts"))
+
+
+@query(oracle(_BRIDGES, bridged="""SELECT graph_id, CASE WHEN rank % 2 = 0 THEN 'framework:' || label ELSE concept_key END AS concept_key, CASE WHEN n % 2 = 0 THEN label || ' ' || n ELSE label END AS label,
+  aliases, status, CASE rank % 3 WHEN 0 THEN 'framework' WHEN 1 THEN 'concept' ELSE namespace END AS namespace FROM concepts"""))
+def bridge_rules(spark, sf):
+    """All five rules: keys after different prefixes, labels that differ by a count, frameworks and concepts."""
+    c, even = views.concepts(spark, sf), lambda x: F.col(x) % 2 == 0
+    renamed = c.select(
+        "graph_id", "aliases", "status", F.when(even("rank"), F.concat(F.lit("framework:"), "label")).otherwise(F.col("concept_key")).alias("concept_key"),
+        F.when(even("n"), F.concat_ws(" ", "label", F.col("n").cast("string"))).otherwise(F.col("label")).alias("label"),
+        F.when(F.col("rank") % 3 == 0, "framework").when(F.col("rank") % 3 == 1, "concept").otherwise(F.col("namespace")).alias("namespace"),
+    )
+    return bridge_candidates(materialize(renamed, "concepts"))

@@ -31,7 +31,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def materialize(frame: DataFrame, name: str) -> DataFrame:
     """Write ``frame`` as Parquet into the shared folder and return a reader of what was written.
 
-    The folder is deleted when the driver's JVM ends (Hadoop's delete-on-exit), on any file system.
+    The folder is deleted by :func:`discard`, or when the driver's JVM ends (Hadoop's delete-on-exit), on any file system.
     """
     spark = frame.sparkSession
     target = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -39,4 +39,16 @@ def materialize(frame: DataFrame, name: str) -> DataFrame:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(target)
     path.getFileSystem(conf).deleteOnExit(path)
-    return spark.read.schema(frame.schema).parquet(target)
+    table = spark.read.schema(frame.schema).parquet(target)
+    table.scratch_path = target
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete what :func:`materialize` wrote, once its last reader has been written itself.
+
+    Whatever was made from it must be stored by then: a lost executor's work is done again from stored tables.
+    """
+    spark = table.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
