@@ -3,14 +3,14 @@
 Every node first points its larger neighbours to the smallest node it sees (large star), then its smaller
 ones (small star), until nothing changes; each component is then one star around its smallest node.
 Only minima are aggregated, with map-side sums, and the joins hold one row a node on one side, so a
-hub is split by the engine.  Each round is written to the shared folder; the driver sees two numbers.
+hub is split by the engine.  Each round is written to the shared folder, and deleted when the next is; the driver sees two numbers.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from grapnel.scratch import materialize
+from grapnel.scratch import discard, materialize
 
 
 def _star(links: DataFrame, small: bool) -> DataFrame:
@@ -32,7 +32,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     sign = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = sign(now)
     while before[0]:
-        now = materialize(_star(_star(now, small=False), small=True), "links")
+        last, now = now, materialize(_star(_star(now, small=False), small=True), "links")
+        discard(last)
         after = sign(now)
         if after == before:
             break
