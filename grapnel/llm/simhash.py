@@ -39,6 +39,7 @@ SEED = 42
 DISTANCE = 3
 PAIRED = 24  # runs up to this length are compared by shifts
 MATRIX = 1500  # and up to this length by a matrix
+HOT = 1024  # a fingerprint of more than one document in so many is placed by broadcast
 GENERATOR = 0b110001110101  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, of the binary Golay code
 
 
@@ -231,15 +232,21 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each document: the id, ``fp`` (long) and ``component_id``."""
+    """A row for each document: the id, ``fp`` (long) and ``component_id``.
+
+    Fingerprints of more than one document in ``HOT`` get theirs by broadcast, as there are fewer than ``HOT`` of
+    these whatever the input; so no task of the last join holds more than that share for one fingerprint.
+    """
     marked = materialize(fingerprints(docs, doc_id, text), "fingerprints")
-    least = marked.groupBy("fp").agg(F.min(doc_id).alias("__least"))
+    least = marked.groupBy("fp").agg(F.min(doc_id).alias("__least"), F.count("*").alias("__n"))
     roots = components(fingerprint_links(least)).withColumnRenamed("node", "fp")
     joined = roots.join(least, "fp")
     smallest = joined.groupBy("root").agg(F.min("__least").alias("__component"))
     linked = roots.join(smallest, "root").select("fp", "__component")
-    assigned = least.join(linked, "fp", "left").select("fp", F.coalesce("__component", "__least").alias("component_id"))
-    return marked.join(assigned, "fp").select(doc_id, "fp", "component_id")
+    assigned = materialize(least.join(linked, "fp", "left").select("fp", "__n", F.coalesce("__component", "__least").alias("component_id")), "components")
+    hot = F.broadcast(assigned.where(F.col("__n") * HOT > marked.count()).select("fp", "component_id"))
+    rest = marked.join(hot.select("fp"), "fp", "left_anti").join(assigned.select("fp", "component_id"), "fp")
+    return marked.join(hot, "fp").unionByName(rest).select(doc_id, "fp", "component_id")
 
 
 def hex_fingerprint(fp: str = "fp"):

@@ -164,5 +164,6 @@ def simhash(docs):
                 root[find(b)] = find(a)
     least = {}
     for d, f in fps:
-        least[find(f)] = min(d, least.get(find(f), d))
-    return [(d, f"{f:016x}", least[find(f)]) for d, f in fps]
+        if d is not None:  # null ids never name a component
+            least[find(f)] = min(d, least.get(find(f), d))
+    return [(d, f"{f:016x}", least.get(find(f))) for d, f in fps]

@@ -219,6 +219,21 @@ def test_odd_rows_everywhere(spark):
     assert len(near) == 5 and sorted(str(r["component_id"]) for r in near) == ["1", "1", "1", "2", "None"]
 
 
+@pytest.mark.parametrize("hot", [3, 1024])
+def test_a_third_of_all_rows_are_copies(spark, monkeypatch, hot):
+    """Copies above and below the share that is placed by broadcast, linked and unlinked, null and repeated ids."""
+    monkeypatch.setattr(simhash, "HOT", hot)
+    r = random.Random(3)
+    text = lambda n: " ".join("".join(r.choices("abcdefghij", k=6)) for _ in range(n))
+    copied, other, long = text(80), text(40), text(4000)
+    near = long.replace(long.split()[2000], "changed", 1)
+    docs = [(i, copied) for i in range(50, 70)] + [(i, other) for i in (3, 90, 90)] + [(91, near), (92, long), (93, long), (None, long), (None, text(30))]
+    docs += [(i, text(25)) for i in range(100, 126)] + [(200, None), (201, "")]
+    got = simhash.near_duplicates(frame(spark, docs)).select("doc_id", simhash.hex_fingerprint().alias("f"), "component_id").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(brute.simhash(docs), key=repr)
+    assert simhash.near_duplicates(frame(spark, docs).limit(0)).count() == 0
+
+
 def test_no_capped_conversation(spark):
     from grapnel.llm import chat
 
