@@ -290,9 +290,10 @@ def sections_from_elements(elements: DataFrame, least: int = MIN_SECTION) -> Dat
     w = _until("order_index")
     structural = F.col("kind") == "structural"
     e = e.withColumns({"any_head": any_head, "n_heads": F.sum(structural.cast("int")).over(w), "n_chapters": F.sum((structural & (F.col("hlevel") <= 1)).cast("int")).over(w)})
-    e = e.where(~((F.col("kind") == "content") & (F.col("any_head") == 1) & (F.col("n_heads") == 0)))
     content = F.col("kind") == "content"
+    # texts before the first heading go, but a label that stood before them is theirs and goes with them
     e = e.withColumn("run", F.coalesce(F.sum(content.cast("int")).over(_before("order_index")), F.lit(0)))
+    e = e.where(~(content & (F.col("any_head") == 1) & (F.col("n_heads") == 0)))
     e = e.withColumns({
         "context": F.last(F.when(F.col("kind") == "context", F.col("text")), ignorenulls=True).over(_until("order_index", by=("doc_id", "run"))),
         "current": F.last(F.when(structural, F.col("text")), ignorenulls=True).over(w),
