@@ -13,6 +13,7 @@ the row that goes through the join is small however long the document is.
 Broadcasts.  Windows, their item entries and their vocabulary grow with the benchmark, so each is counted
 first.  Up to :data:`BROADCAST_ROWS` and :data:`BROADCAST_WORDS` they are broadcast; beyond, they are shuffled
 and meet the rare words of the corpus only.  Either way the corpus is passed twice: for counts and for hits.
+The benchmark's words are counted before that, as a bound on the rows of each table that is written between.
 
 Defined results.  A null or empty text has no words; an item without words has no window.  Rows that
 share an id and a text are one document and come back as often as they came in; a null id is an id
@@ -131,10 +132,12 @@ def _hits_shuffled(docs: DataFrame, tokens: DataFrame, doc_id: str, text: str, w
 
 def contaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """A row for each document: the id, ``n_words``, ``n_hit``, ``items`` (sorted array), ``contaminated``."""
-    windows = materialize(item_windows(benchmark, item_id, item_text, width), "windows")
-    vocabulary = materialize(windows.select(F.explode("__window").alias("__token")).distinct(), "vocabulary")
-    counts = materialize(word_counts(docs, vocabulary, text, broadcast_words), "word-counts")
-    tokens = materialize(prefix_tokens(windows, counts, broadcast_words), "prefix-tokens")
+    # no item has more windows, or more different words, than words
+    bound = benchmark.agg(F.coalesce(F.sum(F.size(words(item_text))), F.lit(0))).first()[0]
+    windows = materialize(item_windows(benchmark, item_id, item_text, width), "windows", bound)
+    vocabulary = materialize(windows.select(F.explode("__window").alias("__token")).distinct(), "vocabulary", bound)
+    counts = materialize(word_counts(docs, vocabulary, text, broadcast_words), "word-counts", bound)
+    tokens = materialize(prefix_tokens(windows, counts, broadcast_words), "prefix-tokens", bound)
     # an item that many windows share is a longer list, so list entries count too
     size = windows.agg(F.count("*"), F.coalesce(F.sum(F.size("__items")), F.lit(0))).first()
     small = max(size) <= broadcast_rows

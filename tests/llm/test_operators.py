@@ -11,6 +11,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from grapnel import scratch
 from grapnel.llm import components, decontam, licenses, line_dedup, packing, quality, secrets, sharding, simhash, token_counts
 from tests.llm import brute
 
@@ -47,6 +48,42 @@ def test_decontamination_in_parts_and_repeats(spark):
     assert {r[0]: r[2] for r in whole}[10] == 14 and {r[0]: r[2] for r in whole}[0] == 16
 
 
+def test_decontamination_writes_few_files(spark, monkeypatch):
+    """Tables between the passes take the files that their rows need, not one a shuffle partition."""
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(60))) for i in range(9)]
+    docs = [(i, f"before {items[i][1]} after") for i in range(9)] + [(9, "of none at all"), (10, None)]
+    written = {}
+
+    def noted(frame, name, *rest):
+        table = scratch.materialize(frame, name, *rest)
+        written[name] = (len([f for f in os.listdir(table.scratch_path.removeprefix("file:")) if f.endswith(".parquet")]), table.count())
+        return table
+
+    monkeypatch.setattr(decontam, "materialize", noted)
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = decontam.contaminate(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+        assert {name: files for name, (files, _) in written.items()} == dict.fromkeys(["windows", "vocabulary", "word-counts", "prefix-tokens"], 1)
+        monkeypatch.setattr(scratch, "FILE_ROWS", 200)
+        again = decontam.contaminate(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r["doc_id"]: r["n_hit"] for r in got} == {i: 60 * (i < 9) for i in range(11)}
+    assert sorted(got) == sorted(again)
+    assert written == {"windows": (3, 459), "vocabulary": (3, 540), "word-counts": (3, 540), "prefix-tokens": (3, 459)}
+
+
+def test_decontamination_without_items(spark):
+    bench = spark.createDataFrame([(1, None), (2, " .,")], "item_id long, text string")
+    for items in (bench, bench.limit(0)):
+        got = decontam.contaminate(frame(spark, [(1, "some words"), (2, None)]), items).collect()
+        assert sorted((r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in got) == [(1, 2, 0, [], False), (2, 0, 0, [], False)]
+
+
 def test_ablations_add_up(spark):
     docs = [(1, "a b c"), (2, "word " * 80), (3, " ".join(f"w{i}" for i in range(90))), (4, "# " * 60 + " ".join(f"value{i}" for i in range(60)))]
     book = quality.ledger(frame(spark, docs))
